@@ -11,6 +11,7 @@ from .licenses import find_licenses
 from .pieces import encode_table
 from .quality import quality
 from .secrets import find_secrets
+from .suffixes import dedup
 from .toxicity import toxicity
 from .vectors import near_vectors
 
@@ -35,6 +36,10 @@ def op4_jaccard_join(spark, sf_dir):
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,7 +61,7 @@ def op10_language_id(spark, sf_dir):
 
 
 def queries() -> dict:
-    every = [op1_quality_classifier, op2_secret_scan, op3_sentencepiece, op4_jaccard_join, op6_toxicity, op7_license_scan, op8_decontamination, op9_embedding_dedup, op10_language_id]
+    every = [op1_quality_classifier, op2_secret_scan, op3_sentencepiece, op4_jaccard_join, op5_suffix_dedup, op6_toxicity, op7_license_scan, op8_decontamination, op9_embedding_dedup, op10_language_id]
     return {f.__name__: f for f in every}
 
 
