@@ -243,7 +243,7 @@ def births(spark, sf_dir):
     return after.agents("Customer").filter(agent_nr(F.col("id")) > top).select(nr("id").alias("id"), "n")
 
 
-@query("WITH p AS (SELECT o_custkey AS k, count(*) AS c FROM orders GROUP BY 1 HAVING count(*) > 15), m AS (SELECT max(c_custkey) AS mx FROM customer) r AS (SELECT k, row_number() OVER (ORDER BY k) AS i FROM p) SELECT k AS parent, mx + 2 * i - 2 + j AS child FROM r CROSS JOIN m CROSS JOIN (VALUES (1), (2)) v(j)")
+@query("WITH p AS (SELECT o_custkey AS k, count(*) AS c FROM orders GROUP BY 1 HAVING count(*) > 15), m AS (SELECT max(c_custkey) AS mx FROM customer), r AS (SELECT k, row_number() OVER (ORDER BY k) AS i FROM p) SELECT k AS parent, mx + 2 * i - 2 + j AS child FROM r CROSS JOIN m CROSS JOIN (VALUES (1), (2)) v(j)")
 def birth_edges(spark, sf_dir):
     model_edge = "Placed"
 
