@@ -77,6 +77,7 @@ class Runs:
     at: np.ndarray
     data: np.ndarray
     windows: np.ndarray
+    grams: np.ndarray
 
 
 def runs_of(texts: list[str], length: int, with_windows: bool) -> Runs:
@@ -86,7 +87,7 @@ def runs_of(texts: list[str], length: int, with_windows: bool) -> Runs:
     ends = np.cumsum(sizes)
     none = np.empty(0, dtype=np.int64)
     if len(data) < length:
-        return Runs(none.astype(np.uint64), none, none, none, none, data, none.astype(np.uint64))
+        return Runs(none.astype(np.uint64), none, none, none, none, data, none.astype(np.uint64), none.astype(np.uint64))
     values = BYTE_VALUES[data]
     grams = splitmix(gram_hashes(values, GRAM))
     # smallest gram of each window by doubling
@@ -100,14 +101,14 @@ def runs_of(texts: list[str], length: int, with_windows: bool) -> Runs:
         ok[max(0, e - length + 1) : e] = False
     place = np.flatnonzero(ok)
     if not len(place):
-        return Runs(none.astype(np.uint64), none, none, none, none, data, none.astype(np.uint64))
+        return Runs(none.astype(np.uint64), none, none, none, none, data, none.astype(np.uint64), none.astype(np.uint64))
     key = low[place]
     first = np.concatenate(([True], (key[1:] != key[:-1]) | (np.diff(place) != 1)))
     at = place[first]
     count = np.diff(np.append(np.flatnonzero(first), len(place)))
     row = np.searchsorted(ends, at, side="right")
     windows = splitmix(gram_hashes(values, length)) if with_windows else none.astype(np.uint64)
-    return Runs(key[first], row, at - (ends - sizes)[row], count, at, data, windows)
+    return Runs(key[first], row, at - (ends - sizes)[row], count, at, data, windows, grams)
 
 
 def spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,21 +264,40 @@ def compared_runs(cold: DataFrame) -> DataFrame:
 
 
 def run_texts(docs: DataFrame, shared: Shared, hot: Shared, config: SuffixConfig) -> DataFrame:
-    """(key, doc, start, bytes) of the runs of mixed keys; equal runs of a task once, for the smallest document."""
+    """(key, doc, start, anchor, bytes) of the runs of mixed keys; equal runs of a slice once, for the smallest document.
+
+    The anchor is where the key's gram stands in the bytes; a run with several such places falls into
+    one part for each, of the windows whose first place it is.
+    """
+    span = config.length - GRAM + 1
 
     def rows(batches):
         for doc, runs in sliced(batches, config.length, False):
             some = np.flatnonzero(in_bitmap(shared.value, runs.key, config.bits) & ~np.isin(runs.key, hot.value))
             best: dict = {}
+            out: list = []
             for i in some:
-                text = runs.data[runs.at[i] : runs.at[i] + runs.count[i] + config.length - 1].tobytes()
-                at = (int(runs.key[i]), text)
-                if at not in best or doc[i] < best[at][0]:
-                    best[at] = (doc[i], runs.start[i])
-            if best:
-                yield record(key=np.array([k for k, _ in best], dtype=np.uint64).view(np.int64), doc=np.array([d for d, _ in best.values()], dtype=np.int64), start=np.array([s for _, s in best.values()], dtype=np.int64), bytes=pa.array([t for _, t in best], pa.binary()))
-
-    return docs.mapInArrow(rows, "key long, doc long, start long, bytes binary")
+                at, count, key = int(runs.at[i]), int(runs.count[i]), runs.key[i]
+                first, places = 0, np.flatnonzero(runs.grams[at : at + count + span - 1] == key).tolist()
+                if len(places) == 1:
+                    # a larger document's equal run is covered as a whole already
+                    name = (key, runs.data[at : at + count + config.length - 1].tobytes())
+                    if name not in best or doc[i] < best[name][0][1]:
+                        best[name] = []
+                    if not best[name] or doc[i] == best[name][0][1]:
+                        best[name].append((key, doc[i], runs.start[i], places[0], name[1]))
+                    continue
+                for p in places:
+                    last = min(p, count - 1)
+                    if last >= first:
+                        out.append((key, doc[i], runs.start[i] + first, p - first, runs.data[at + first : at + last + config.length].tobytes()))
+                        first = last + 1
+            out += [row for rows in best.values() for row in rows]
+            if out:
+                key, own, start, anchor, text = zip(*out, strict=True)
+                yield record(key=np.array(key, dtype=np.uint64).view(np.int64), doc=np.array(own, dtype=np.int64), start=np.array(start, dtype=np.int64), anchor=np.array(anchor, dtype=np.int32), bytes=pa.array(text, pa.binary()))
+
+    return docs.mapInArrow(rows, "key long, doc long, start long, anchor int, bytes binary")
 
 
 class HashedText:
@@ -341,39 +361,67 @@ class HashedText:
         return order
 
 
+def segments(slots: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of ``slots`` within their groups by suffix sort, and the common beginning of each with the one before (-1: new group)."""
+    n, most = slots.shape
+    text = HashedText(slots.ravel())
+    at = np.arange(n) * most
+    order = text.sort(at, group, most)
+    common = np.full(n, -1)
+    within = group[order][1:] == group[order][:-1]
+    common[1:][within] = text.extension(at[order][1:][within], at[order][:-1][within], most)
+    # collision check: what the hashes say must hold byte for byte
+    for a in range(1, n, 50_000):
+        b = min(n, a + 50_000)
+        equal = slots[order[a:b]] == slots[order[a - 1 : b - 1]]
+        true = np.where(equal.all(1), most, equal.argmin(1))
+        common[a:b] = np.minimum(common[a:b], true)
+    return order, common
+
+
 def sorted_windows(texts: DataFrame, config: SuffixConfig) -> DataFrame:
-    """Windows (doc, start, count 1) of the runs that a smaller document has too."""
-    most = config.length
+    """Windows (doc, start, count) of the runs that a smaller document has too.
+
+    Runs of a key are aligned at their anchors. The suffixes from the anchors on, and those that go
+    back from them, are sorted; the windows that begin o bytes before the anchors are equal where
+    o bytes back and the rest ahead are in common, which cuts both orders into segments.
+    """
+    length = config.length
+    back = length - GRAM + 1
 
     def rows(batches):
-        for table in whole_groups(batches, ["key", "doc", "start", "bytes"], 20_000):
+        for table in whole_groups(batches, ["key", "doc", "start", "anchor", "bytes"], 20_000):
             raw = table.column("bytes").to_pylist()
-            key, doc, start = (table.column(c).to_numpy() for c in ("key", "doc", "start"))
-            sizes = np.array([len(r) for r in raw])
-            text = HashedText(np.frombuffer(b"".join(raw), dtype=np.uint8))
-            owner, k = spread(sizes - most + 1)
-            at = (np.cumsum(sizes) - sizes)[owner] + k
-            # windows whose hash stands alone in their key are no class
-            h = splitmix((text.prefix[at + most] - text.prefix[at]) * text.up[len(text.data) - at]) ^ splitmix(key[owner].view(np.uint64))
-            _, back, n = np.unique(h, return_inverse=True, return_counts=True)
-            some = np.flatnonzero(n[back] > 1)
-            if not len(some):
-                continue
-            owner, k, at = owner[some], k[some], at[some]
-            order = text.sort(at, key[owner], most)
-            owner, k, at = owner[order], k[order], at[order]
-            same = (key[owner][1:] == key[owner][:-1]) & (text.extension(at[1:], at[:-1], most) >= most)
-            # collision check: classes are equal byte for byte
-            near = np.flatnonzero(same)
-            step = np.arange(most)
-            for a in range(0, len(near), 100_000):
-                part = near[a : a + 100_000]
-                same[part] = (text.data[at[part + 1][:, None] + step] == text.data[at[part][:, None] + step]).all(1)
-            first = np.flatnonzero(np.concatenate(([True], ~same)))
-            least = np.repeat(np.minimum.reduceat(doc[owner], first), np.diff(np.append(first, len(at))))
-            over = doc[owner] > least
-            if over.any():
-                yield record(doc=doc[owner][over], start=start[owner][over] + k[over], count=np.ones(over.sum(), np.int32))
+            key, doc, start, anchor = (table.column(c).to_numpy() for c in ("key", "doc", "start", "anchor"))
+            data, sizes = np.frombuffer(b"".join(raw), dtype=np.uint8), np.array([len(r) for r in raw])
+            begin = np.cumsum(sizes) - sizes
+            pin, end = begin + anchor, begin + sizes
+            ahead = pin[:, None] + np.arange(length)
+            behind = pin[:, None] - 1 - np.arange(back - 1)
+            right = np.where(ahead < end[:, None], data[np.minimum(ahead, len(data) - 1)], 0).astype(np.uint8)
+            left = np.where(behind >= begin[:, None], data[np.maximum(behind, 0)], 0).astype(np.uint8)
+            right_order, right_common = segments(right, key)
+            left_order, left_common = segments(left, key)
+            n = len(key)
+            covered = np.zeros((n, back + 2), dtype=np.int8)  # by window: the first begins furthest back
+            low, high = anchor - (sizes - length), anchor
+            left_class, right_class = np.empty(n, np.int64), np.empty(n, np.int64)
+            for o in range(back):
+                some = np.flatnonzero((low <= o) & (o <= high))
+                if not len(some):
+                    continue
+                left_class[left_order] = np.cumsum(left_common < o)
+                right_class[right_order] = np.cumsum(right_common < length - o)
+                _, inverse = np.unique(left_class[some] * (n + 1) + right_class[some], return_inverse=True)
+                least = np.full(inverse.max() + 1, np.iinfo(np.int64).max)
+                np.minimum.at(least, inverse, doc[some])
+                covered[some, back - o] = doc[some] > least[inverse]
+            edge = np.diff(covered, axis=1)
+            own, first = np.nonzero(edge == 1)
+            _, last = np.nonzero(edge == -1)
+            # column c + 1 is the window that begins back - c - 1 bytes before the anchor
+            if len(own):
+                yield record(doc=doc[own], start=start[own] + anchor[own] - (back - 1 - first), count=(last - first).astype(np.int32))
 
     return texts.repartition("key").sortWithinPartitions("key").mapInArrow(rows, "doc long, start long, count int")
 
