@@ -4,7 +4,7 @@ Two documents link when the Jaccard similarity of their sets of five-word shingl
 (judged in whole numbers: 100 * intersection >= 80 * union). A set of n shingles can only link with
 one that shares T = ceil(0.8 n) of them. As in DivideSkip, the inverted lists of a set are divided:
 the n - T + 1 rarest are short lists, which are merged to find candidates, and the T - 1 commonest
-are long lists, which are not merged but probed by binary search in the sets of the candidates. Any
+are long lists, which are not merged but probed by binary search for the candidates. Any
 order of the shingles gives the same links; the order here is by document counts over all documents,
 gathered task by task, then by hash.
 
@@ -202,10 +202,11 @@ def merged_lists(lists: DataFrame, config: JaccardConfig) -> DataFrame:
     return lists.mapInArrow(run, "a long, b long, shingle long, n int, pos int")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, config: JaccardConfig, doc_id: str, text: str) -> DataFrame:
-    """The pairs (a, b) that link: the long lists are probed by binary search in the smaller-id set's partner."""
-    spark, percent = docs.sparkSession, config.percent
-    # a bitmap of fixed size passes over most documents that are in no pair; the joins are exact
+def of_paired(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, make, schema: str) -> DataFrame:
+    """A written table of make(ids, sets) for the documents in pairs (a, b), and a few more.
+
+    A bitmap of fixed size passes over most documents that are in no pair; joins on the table are exact.
+    """
     bits = 1 << 23
 
     def rows_of(whole):
@@ -230,37 +231,78 @@ def verified(pairs: DataFrame, docs: DataFrame, config: JaccardConfig, doc_id: s
     bitmap = np.zeros(bits // 8, dtype=np.uint8).reshape(-1, 64)
     for r in pairs.mapInArrow(marks, "k int, m binary").repartition(16, "k").mapInArrow(unite, "k int, m binary").toArrow().to_pylist():
         bitmap[r["k"]] |= np.frombuffer(r["m"], np.uint8)
-    shared = Shared(spark, bitmap.ravel())
+    shared = Shared(docs.sparkSession, bitmap.ravel())
 
-    def wanted(ids: np.ndarray) -> np.ndarray:
-        h = splitmix(ids.astype(np.int64).view(np.uint64)) % np.uint64(bits)
-        return (shared.value[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-    def sets(batches):
+    def rows(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(wanted(batch.column(doc_id).to_numpy(zero_copy_only=False))))
-            for part in byte_slices(batch, text, 1 << 20):
-                own = shingle_sets(["" if t is None else t for t in part.column(text).to_pylist()])
-                yield record(doc=part.column(doc_id), s=pa.array([s.tobytes() for s in own], pa.binary()))
+            h = splitmix(batch.column(doc_id).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(bits)
+            wanted = (shared.value[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            for part in byte_slices(batch.filter(pa.array(wanted)), text, 1 << 20):
+                yield make(part.column(doc_id), shingle_sets(["" if t is None else t for t in part.column(text).to_pylist()]))
 
-    table = written(docs.filter(F.col(doc_id).isNotNull()).mapInArrow(sets, "doc long, s binary"))
-    first = pairs.join(table.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b")
-    both = first.join(table.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a")
+    return written(docs.filter(F.col(doc_id).isNotNull()).select(doc_id, text).mapInArrow(rows, schema))
 
-    def probe(batches):
+
+def joined(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """(a, b, x, y): the column of the table for both documents of each pair."""
+    first = pairs.join(table.select(F.col("doc").alias("b"), F.col(column).alias("y")), "b")
+    return first.join(table.select(F.col("doc").alias("a"), F.col(column).alias("x")), "a").select("a", "b", "x", "y")
+
+
+def kept_pairs(rows: DataFrame, test) -> DataFrame:
+    def run(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1) if len(y) else np.zeros(0, int)
-                both_ = int((y[at] == x).sum())
-                ok.append(100 * both_ >= percent * (len(x) + len(y) - both_) and len(x) > 0)
+            ok = [test(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             keep = batch.filter(pa.array(ok, pa.bool_()))
             yield record(a=keep.column("a"), b=keep.column("b"))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(probe, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def histogram(s: np.ndarray) -> bytes:
+    """Counts of the hashes by their highest bits, in about as many cells as half of the hashes: a byte a cell, or four where that is too small."""
+    k = max(4, int(np.ceil(np.log2(max(len(s), 2)))) - 1)
+    count = np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
+    return bytes((k,)) + count.astype(np.uint8 if count.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def cells(raw) -> tuple[int, np.ndarray]:
+    raw = memoryview(raw)
+    k, rest = raw[0], raw[1:]
+    return k, np.frombuffer(rest, np.uint8 if len(rest) == 1 << k else np.uint32).astype(np.int64)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, config: JaccardConfig, doc_id: str, text: str) -> DataFrame:
+    """The pairs (a, b) that link: each shingle of the smaller set is looked up in the larger one by binary search.
+
+    Before whole sets travel, histograms of the hashes bound the intersection from above and rule
+    out pairs that cannot link.
+    """
+    percent = config.percent
+
+    def could(x, y) -> bool:
+        (k, p), (m, q) = cells(x), cells(y)
+        if k < m:
+            q = q.reshape(1 << k, -1).sum(1)
+        elif m < k:
+            p = p.reshape(1 << m, -1).sum(1)
+        most = int(np.minimum(p, q).sum())
+        return 100 * most >= percent * (int(p.sum()) + int(q.sum()) - most)
+
+    def link(x, y) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        if len(x) > len(y):
+            x, y = y, x
+        if not len(x):
+            return False
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        both = int((y[at] == x).sum())
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    sketches = of_paired(pairs, docs, doc_id, text, lambda ids, sets: record(doc=ids, h=pa.array([histogram(s) for s in sets], pa.binary())), "doc long, h binary")
+    left = written(kept_pairs(joined(pairs, sketches, "h"), could))
+    whole = of_paired(left, docs, doc_id, text, lambda ids, sets: record(doc=ids, s=pa.array([s.tobytes() for s in sets], pa.binary())), "doc long, s binary")
+    return kept_pairs(joined(left, whole, "s"), link)
 
 
 def jaccard_links(docs: DataFrame, config: JaccardConfig = JaccardConfig(), doc_id="doc_id", text="text") -> tuple[DataFrame, DataFrame]:
