@@ -205,6 +205,8 @@ class ItemIndex:
         key, back = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(back, np.concatenate(weights), minlength=len(key))
         key, sums = key[(reach := sums >= config.share - self.common_most)], sums[reach]
+        if not len(key):
+            return {}
         windows, cuts = np.unique(key // len(self.best), return_index=True)
         out: dict[tuple[int, int], float] = {}
         for w, x, y in zip(windows, cuts, [*cuts[1:], len(key)], strict=True):
