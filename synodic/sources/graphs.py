@@ -73,7 +73,7 @@ class GraphMethods:
         frame = vertices.select("*", *[c.alias(k) for k, c in (agent_fields or {}).items()]).withColumn("_n", F.col("v") + offset)
         ids = self.add_agents(kind, frame, nr="_n").select("v", "id")
         both = edges.select("*", *[c.alias(k) for k, c in (edge_fields or {}).items()])
-        both = both if directed else both.unionByName(both.withColumnsRenamed({"s": "t", "t": "s"}))
+        both = both if directed else both.unionByName(both.select(F.col("t").alias("s"), F.col("s").alias("t"), *[c for c in both.columns if c not in ("s", "t")]))
         from ..functions.ids import make_id
 
         rows = both.withColumn("from", make_id(t.number, F.col("s") + offset)).withColumn("to", make_id(t.number, F.col("t") + offset))
