@@ -37,7 +37,7 @@ class SuffixConfig:
     """``bits`` is the size of the bitmaps; keys of ``hot`` documents or more go by hash, at most ``hottest`` of them."""
 
     length: int = 50
-    bits: int = 28
+    bits: int = 27
     hot: int = 2000
     hottest: int = 100_000
 
@@ -76,18 +76,17 @@ class Runs:
     count: np.ndarray
     at: np.ndarray
     data: np.ndarray
-    windows: np.ndarray
     grams: np.ndarray
 
 
-def runs_of(texts: list[str], length: int, with_windows: bool) -> Runs:
+def runs_of(texts: list[str], length: int) -> Runs:
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.array([len(r) for r in raw], dtype=np.int64)
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
     ends = np.cumsum(sizes)
     none = np.empty(0, dtype=np.int64)
     if len(data) < length:
-        return Runs(none.astype(np.uint64), none, none, none, none, data, none.astype(np.uint64), none.astype(np.uint64))
+        return Runs(none.astype(np.uint64), none, none, none, none, data, none.astype(np.uint64))
     values = BYTE_VALUES[data]
     grams = splitmix(gram_hashes(values, GRAM))
     # smallest gram of each window by doubling
@@ -101,14 +100,21 @@ def runs_of(texts: list[str], length: int, with_windows: bool) -> Runs:
         ok[max(0, e - length + 1) : e] = False
     place = np.flatnonzero(ok)
     if not len(place):
-        return Runs(none.astype(np.uint64), none, none, none, none, data, none.astype(np.uint64), none.astype(np.uint64))
+        return Runs(none.astype(np.uint64), none, none, none, none, data, none.astype(np.uint64))
     key = low[place]
     first = np.concatenate(([True], (key[1:] != key[:-1]) | (np.diff(place) != 1)))
     at = place[first]
     count = np.diff(np.append(np.flatnonzero(first), len(place)))
     row = np.searchsorted(ends, at, side="right")
-    windows = splitmix(gram_hashes(values, length)) if with_windows else none.astype(np.uint64)
-    return Runs(key[first], row, at - (ends - sizes)[row], count, at, data, windows, grams)
+    return Runs(key[first], row, at - (ends - sizes)[row], count, at, data, grams)
+
+
+def window_hashes(grams: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the windows that begin at these places, from the grams that cover them."""
+    out = np.zeros(len(at), dtype=np.uint64)
+    for step in (*range(0, length - GRAM, GRAM), length - GRAM):
+        out = splitmix(out + grams[at + step])
+    return out
 
 
 def spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,12 +123,12 @@ def spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], length: int, with_windows: bool = True) -> Iterator[tuple[np.ndarray, Runs]]:
+def sliced(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, Runs]]:
     """(ids of the runs, runs) slice by slice; rows without an id are left out."""
     for batch in batches:
         batch = batch.filter(batch.column("doc_id").is_valid())
-        for part in byte_slices(batch, "text", 1 << 20):
-            runs = runs_of(["" if t is None else t for t in part.column("text").to_pylist()], length, with_windows)
+        for part in byte_slices(batch, "text", 1 << 18):
+            runs = runs_of(["" if t is None else t for t in part.column("text").to_pylist()], length)
             if len(runs.key):
                 yield part.column("doc_id").to_numpy(zero_copy_only=False)[runs.row], runs
 
@@ -141,11 +147,11 @@ def keys_of(docs: DataFrame, config: SuffixConfig) -> DataFrame:
 
     def rows(batches):
         keys, ids, held = [], [], 0
-        for doc, runs in sliced(batches, config.length, False):
+        for doc, runs in sliced(batches, config.length):
             keys.append(runs.key)
             ids.append(doc)
             held += len(doc)
-            if held > 2_000_000:
+            if held > 500_000:
                 yield counted(keys, ids)
                 keys, ids, held = [], [], 0
         if held:
@@ -211,7 +217,7 @@ def candidate_runs(docs: DataFrame, shared: Shared, hot: Shared, config: SuffixC
                 continue
             key, doc, start, count, at = (c[some] for c in (runs.key, doc, runs.start, runs.count, runs.at))
             owner, k = spread(count)
-            windows = runs.windows[at[owner] + k]
+            windows = window_hashes(runs.grams, at[owner] + k, config.length)
             is_hot = np.isin(key, hot.value)
             whole = splitmix(np.add.reduceat(windows * weights[k % 4095], np.cumsum(count) - count) + count.astype(np.uint64))
             cold = ~is_hot
@@ -221,7 +227,7 @@ def candidate_runs(docs: DataFrame, shared: Shared, hot: Shared, config: SuffixC
                 w = windows[each]
                 held.append((np.full(len(w), 2), w, np.zeros(len(w), np.uint64), doc[owner[each]], start[owner[each]] + k[each], np.ones(len(w), int)))
             n += len(held[-1][0]) + cold.sum()
-            if n > 500_000:
+            if n > 250_000:
                 yield settled(held)
                 held, n = [], 0
         if held:
@@ -272,7 +278,7 @@ def run_texts(docs: DataFrame, shared: Shared, hot: Shared, config: SuffixConfig
     span = config.length - GRAM + 1
 
     def rows(batches):
-        for doc, runs in sliced(batches, config.length, False):
+        for doc, runs in sliced(batches, config.length):
             some = np.flatnonzero(in_bitmap(shared.value, runs.key, config.bits) & ~np.isin(runs.key, hot.value))
             best: dict = {}
             out: list = []
@@ -301,10 +307,11 @@ def run_texts(docs: DataFrame, shared: Shared, hot: Shared, config: SuffixConfig
 
 
 class HashedText:
-    """Bytes with prefix polynomial hashes: any stretch's hash in one step, common extensions by binary search."""
+    """Strings of one size, one after the other, with prefix polynomial hashes: any stretch's hash in one step, common extensions by binary search."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, size: int):
         self.data = data
+        self.head = np.ascontiguousarray(data.reshape(-1, size)[:, :8]).view(">u8").ravel().astype(np.uint64)
         n = len(data)
         self.up = np.full(n + 1, RADIX, dtype=np.uint64)
         self.up[0] = 1
@@ -325,12 +332,24 @@ class HashedText:
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
-    def less(self, i: np.ndarray, j: np.ndarray, most: int, ties: bool) -> np.ndarray:
+    def less(self, i: np.ndarray, j: np.ndarray, most: int, ties: np.ndarray) -> np.ndarray:
         n = self.extension(i, j, most)
         end = n >= most
         k = np.minimum(n, most - 1)
         return np.where(end, ties, self.data[i + k] < self.data[j + k])
 
+    def quick_less(self, i: np.ndarray, j: np.ndarray, most: int, ties: np.ndarray) -> np.ndarray:
+        """less() for suffixes at multiples of ``most``: first by eight bytes, then by the whole, then by the common extension."""
+        a, b = self.head[i // most], self.head[j // most]
+        out = a < b
+        rest = np.flatnonzero(a == b)
+        if len(rest):
+            whole = self.same(i[rest], j[rest], np.int64(most))
+            out[rest[whole]] = ties[rest[whole]]
+            rest = rest[~whole]
+            out[rest] = self.less(i[rest], j[rest], most, ties[rest])
+        return out
+
     def sort(self, at: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
         """Order of suffixes within their groups (which stand together), compared over ``most`` bytes: mergesort, all merges of a level at once."""
         order = np.arange(len(at))
@@ -351,7 +370,7 @@ class HashedText:
                 mid = (low[open_] + high[open_]) // 2
                 them = at[order[mid]]
                 # a left element goes before equal ones of the right run
-                ahead = np.where(left[open_], self.less(them, me[open_], most, False), self.less(them, me[open_], most, True))
+                ahead = self.quick_less(them, me[open_], most, ~left[open_])
                 low[open_] = np.where(ahead, mid + 1, low[open_])
                 high[open_] = np.where(ahead, high[open_], mid)
             target = base[active] + run // 2 * 2 * width + own % width + (low - begin)
@@ -364,7 +383,7 @@ class HashedText:
 def segments(slots: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of ``slots`` within their groups by suffix sort, and the common beginning of each with the one before (-1: new group)."""
     n, most = slots.shape
-    text = HashedText(slots.ravel())
+    text = HashedText(slots.ravel(), most)
     at = np.arange(n) * most
     order = text.sort(at, group, most)
     common = np.full(n, -1)
@@ -488,5 +507,5 @@ def dedup(docs: DataFrame, config: SuffixConfig = SuffixConfig(), doc_id="doc_id
         last = {"kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]} if digest else {"kept": pa.array(kept, pa.binary())}
         return record(doc_id=part.column("doc_id"), n_bytes=[len(d) for d, _ in out], n_removed=[int(m.sum()) for _, m in out], n_spans=[int((np.diff(m.astype(np.int8), prepend=0) == 1).sum()) for _, m in out], **last)
 
-    joined = docs.join(spans.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
+    joined = docs.join(spans.withColumnRenamed("doc", "doc_id").hint("shuffle_hash"), "doc_id", "left")
     return apply_cover(joined, "text", "spans", f"doc_id long, n_bytes long, n_removed long, n_spans long, {what}", config.length, make)
