@@ -86,12 +86,12 @@ def sizes_and_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
         room = 0
         for batch in batches:
-            for part in byte_slices(batch, text, 1 << 20):
+            for part in byte_slices(batch, text, 1 << 18):
                 sets = shingle_sets(["" if t is None else t for t in part.column(text).to_pylist()])
                 held += sets
                 room += sum(map(len, sets))
                 yield record(doc=part.column(doc_id), n=np.array([len(s) for s in sets], dtype=np.int64), sig=pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), shingle=pa.nulls(len(sets), pa.int64()))
-                if room > 4_000_000:
+                if room > 1_000_000:
                     yield counted()
                     room = 0
         if held:
@@ -139,7 +139,7 @@ def short_lists(docs: DataFrame, order: Order, config: JaccardConfig, doc_id: st
         shingle, doc, n, pos, typical, is_hot = map(np.concatenate, zip(*out, strict=True))
         return record(shingle=shingle.view(np.int64), doc=doc.astype(np.int64), n=n.astype(np.int32), pos=pos.astype(np.int32), typical=typical.astype(np.int64), hot=is_hot)
 
-    return over_texts(docs, text, rows, "shingle long, doc long, n int, pos int, typical long, hot boolean")
+    return over_texts(docs, text, rows, "shingle long, doc long, n int, pos int, typical long, hot boolean", 1 << 18)
 
 
 def could_link(na, nb, pa_, pb, percent):
@@ -237,7 +237,7 @@ def of_paired(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, make, s
         for batch in batches:
             h = splitmix(batch.column(doc_id).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(bits)
             wanted = (shared.value[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            for part in byte_slices(batch.filter(pa.array(wanted)), text, 1 << 20):
+            for part in byte_slices(batch.filter(pa.array(wanted)), text, 1 << 18):
                 yield make(part.column(doc_id), shingle_sets(["" if t is None else t for t in part.column(text).to_pylist()]))
 
     return written(docs.filter(F.col(doc_id).isNotNull()).select(doc_id, text).mapInArrow(rows, schema))
