@@ -25,11 +25,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(frame: DataFrame) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    path = f"{scratch_dir(frame.sparkSession)}/{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    """The frame as a Parquet table in the shared folder: cuts lineage, survives lost executors.
+
+    Once the table stands, the shuffle files that made it are of no more use and are removed.
+    """
+    spark = frame.sparkSession
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 class Shared:
