@@ -270,38 +270,46 @@ def compared_runs(cold: DataFrame) -> DataFrame:
 
 
 def run_texts(docs: DataFrame, shared: Shared, hot: Shared, config: SuffixConfig) -> DataFrame:
-    """(key, doc, start, anchor, bytes) of the runs of mixed keys; equal runs of a slice once, for the smallest document.
+    """(key, doc, start, anchor, bytes) of the runs of mixed keys; equal runs that a task meets near each other once, for the smallest document.
 
     The anchor is where the key's gram stands in the bytes; a run with several such places falls into
     one part for each, of the windows whose first place it is.
     """
     span = config.length - GRAM + 1
 
+    def made(out: list) -> pa.RecordBatch:
+        key, own, start, anchor, text = zip(*out, strict=True)
+        return record(key=np.array(key, dtype=np.uint64).view(np.int64), doc=np.array(own, dtype=np.int64), start=np.array(start, dtype=np.int64), anchor=np.array(anchor, dtype=np.int32), bytes=pa.array(text, pa.binary()))
+
     def rows(batches):
+        best: dict = {}
         for doc, runs in sliced(batches, config.length):
             some = np.flatnonzero(in_bitmap(shared.value, runs.key, config.bits) & ~np.isin(runs.key, hot.value))
-            best: dict = {}
             out: list = []
             for i in some:
-                at, count, key = int(runs.at[i]), int(runs.count[i]), runs.key[i]
-                first, places = 0, np.flatnonzero(runs.grams[at : at + count + span - 1] == key).tolist()
+                at, count, key = int(runs.at[i]), int(runs.count[i]), int(runs.key[i])
+                first, places = 0, np.flatnonzero(runs.grams[at : at + count + span - 1] == runs.key[i]).tolist()
                 if len(places) == 1:
                     # a larger document's equal run is covered as a whole already
-                    name = (key, runs.data[at : at + count + config.length - 1].tobytes())
-                    if name not in best or doc[i] < best[name][0][1]:
-                        best[name] = []
-                    if not best[name] or doc[i] == best[name][0][1]:
-                        best[name].append((key, doc[i], runs.start[i], places[0], name[1]))
+                    name, own = (key, runs.data[at : at + count + config.length - 1].tobytes()), int(doc[i])
+                    held = best.get(name)
+                    if held is None or own < held[0][0]:
+                        best[name] = [(own, int(runs.start[i]), places[0])]
+                    elif own == held[0][0]:
+                        held.append((own, int(runs.start[i]), places[0]))
                     continue
                 for p in places:
                     last = min(p, count - 1)
                     if last >= first:
                         out.append((key, doc[i], runs.start[i] + first, p - first, runs.data[at + first : at + last + config.length].tobytes()))
                         first = last + 1
-            out += [row for rows in best.values() for row in rows]
+            if len(best) > 100_000:
+                out += [(name[0], *row, name[1]) for name, own in best.items() for row in own]
+                best = {}
             if out:
-                key, own, start, anchor, text = zip(*out, strict=True)
-                yield record(key=np.array(key, dtype=np.uint64).view(np.int64), doc=np.array(own, dtype=np.int64), start=np.array(start, dtype=np.int64), anchor=np.array(anchor, dtype=np.int32), bytes=pa.array(text, pa.binary()))
+                yield made(out)
+        if best:
+            yield made([(name[0], *row, name[1]) for name, own in best.items() for row in own])
 
     return docs.mapInArrow(rows, "key long, doc long, start long, anchor int, bytes binary")
 
