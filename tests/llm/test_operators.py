@@ -165,6 +165,22 @@ def test_vectors_against_all_pairs(spark):
     assert got == [(k, n[k], root[k], root[k] == k) for k in range(105)]
 
 
+def test_vectors_in_a_crowd(spark):
+    rng = np.random.default_rng(9)
+    n, planted = 5000, 150
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(rng.normal(size=64))
+    x = unit(np.sqrt(0.8) * centre + np.sqrt(0.2) * unit(rng.normal(size=(n, 64))))
+    x[-planted:] = unit(x[:planted] + 0.44 * unit(rng.normal(size=(planted, 64))))
+    x = np.concatenate((x, unit(rng.normal(size=(40, 64))), x[:1]))
+    got = sorted(tuple(r) for r in near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect())
+    linked = unit(x) @ unit(x).T >= 0.9
+    np.fill_diagonal(linked, False)
+    root = roots(len(x), np.argwhere(np.tril(linked)).tolist())
+    assert linked[:planted].any(1).all()
+    assert got == [(k, int(linked[k].sum()), root[k], root[k] == k) for k in range(len(x))]
+
+
 def labelled(spark):
     rng = random.Random(6)
     words = ["alpha", "beta", "gamma", "delta", "omega", "the", "of"]
