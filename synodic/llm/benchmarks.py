@@ -1,7 +1,8 @@
 """Benchmark decontamination: BM25 over test items with block-max WAND, then overlap of question and answer.
 
 Every passage of every document is a query against the inverted index of the test items. Postings
-lie in blocks with their largest score; a passage whose bounds cannot reach the threshold is passed
+lie in blocks with their largest score. Items longer than a passage are indexed as parts of about
+equal length that a passage can hold, and an item is retrieved with any of its parts. A passage whose bounds cannot reach the threshold is passed
 over, and a document at a time is skipped to past blocks that cannot reach it. All items at or above
 the threshold are verified: enough of the question's, and of the answer's, five-word shingles stand
 in the document. The answer is an item's last sentence if it has several, else its last third.
@@ -28,7 +29,7 @@ SHINGLE = 5
 
 @dataclass(frozen=True)
 class DecontaminationConfig:
-    """Passages of ``window`` words, each ``stride`` after the last; scores are shares of an item's score against itself, ``share`` is the threshold."""
+    """Passages of ``window`` words, each ``stride`` after the last; scores are shares of an item's (of a longer item, a part's) score against itself, ``share`` is the threshold."""
 
     window: int = 64
     stride: int = 32
@@ -59,6 +60,11 @@ def question_and_answer(text: str) -> tuple[np.ndarray, np.ndarray]:
     return words[: max(cut, SHINGLE)], words[min(cut, max(0, len(words) - SHINGLE)) :]
 
 
+def parts_of(words: np.ndarray, window: int) -> list[np.ndarray]:
+    """An item's words in as few parts of about equal length as hold ``window`` words at most."""
+    return np.array_split(words, -(-len(words) // window))
+
+
 SEPARATES = IS_SPACE.copy()
 SEPARATES[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
@@ -70,9 +76,10 @@ def plain(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class ItemIndex:
-    """Postings by term: items, scores (as shares of the item's score against itself), and the largest score of each block of postings."""
+    """Postings by term: parts of items, scores (as shares of the part's score against itself), and the largest score of each block of postings."""
 
     ids: list
+    owner: np.ndarray
     terms: np.ndarray
     items: list[np.ndarray]
     scores: list[np.ndarray]
@@ -101,7 +108,10 @@ class ItemIndex:
     @classmethod
     def build(cls, rows: list[tuple[object, str]], config: DecontaminationConfig) -> ItemIndex:
         rows = [(i, t) for i, t in rows if t and len(plain([t])[0])]
-        words = [plain([t])[0] for _, t in rows]
+        whole = [plain([t])[0] for _, t in rows]
+        cut = [parts_of(w, config.window) for w in whole]
+        owner = np.repeat(np.arange(len(rows)), [len(c) for c in cut]).astype(np.int64)
+        words = [w for c in cut for w in c]
         mean = np.mean([len(w) for w in words]) if words else 1.0
         by_term: dict[int, list[tuple[int, float]]] = {}
         for k, w in enumerate(words):
@@ -109,30 +119,30 @@ class ItemIndex:
                 by_term.setdefault(int(term), []).append((k, tf * (config.k1 + 1) / (tf + config.k1 * (1 - config.b + config.b * len(w) / mean))))
         terms = np.array(sorted(by_term), dtype=np.uint64)
         items, scores, blocks = [], [], []
-        best = np.zeros(len(rows))
+        best = np.zeros(len(words))
         for term in terms:
             post = by_term[int(term)]
-            idf = np.log(1 + (len(rows) - len(post) + 0.5) / (len(post) + 0.5))
+            idf = np.log(1 + (len(words) - len(post) + 0.5) / (len(post) + 0.5))
             items.append(np.array([k for k, _ in post]))
             scores.append(np.array([s for _, s in post]) * idf)
             best[items[-1]] += scores[-1]
         scores = [s / best[i] for s, i in zip(scores, items, strict=True)]
         blocks = [np.maximum.reduceat(s, np.arange(0, len(s), config.block)) for s in scores]
         halves = [question_and_answer(t) for _, t in rows]
-        question, answer = ([np.unique(shingles(h[k], min(SHINGLE, len(w)))) for h, w in zip(halves, words, strict=True)] for k in (0, 1))
+        question, answer = ([np.unique(shingles(h[k], min(SHINGLE, len(w)))) for h, w in zip(halves, whole, strict=True)] for k in (0, 1))
         most = np.array([b.max() for b in blocks]) if blocks else np.zeros(0)
         # terms of most items, as long as they weigh less than half of the threshold in every item
-        common, weighs = np.zeros(len(terms), dtype=bool), np.zeros(len(rows))
+        common, weighs = np.zeros(len(terms), dtype=bool), np.zeros(len(words))
         for t in sorted(range(len(terms)), key=lambda t: (-len(items[t]), t)):
             more = weighs.copy()
             more[items[t]] += scores[t]
             if more.max() > config.share / 2:
                 break
             weighs, common[t] = more, True
-        return cls([i for i, _ in rows], terms, items, scores, blocks, most, best, question, answer, [min(SHINGLE, len(w)) for w in words], config.block, common, float(weighs.max()) if len(rows) else 0.0)
+        return cls([i for i, _ in rows], owner, terms, items, scores, blocks, most, best, question, answer, [min(SHINGLE, len(w)) for w in whole], config.block, common, float(weighs.max()) if len(words) else 0.0)
 
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All items whose summed score over the terms reaches the threshold, by block-max WAND."""
+        """All parts whose summed score over the terms reaches the threshold, by block-max WAND."""
         cursors = [[0, t] for t in terms]
         out = []
         while True:
@@ -217,7 +227,8 @@ class ItemIndex:
             # with the common terms that the passage has, no longer with all
             if (sums[x:y] + self.common_scores[self.common_row[own]][:, key[x:y] % len(self.best)].sum(0)).max() < config.share:
                 continue
-            for found, score in self.wand(own.tolist(), config.share):
+            for part, score in self.wand(own.tolist(), config.share):
+                found = int(self.owner[part])
                 out[doc, found] = max(score, out.get((doc, found), 0.0))
         return out
 

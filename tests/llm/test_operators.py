@@ -151,6 +151,18 @@ def test_decontamination(spark):
     assert contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_items(spark):
+    rng = random.Random(12)
+    words = ["w" + "".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    zipf = [1 / (k + 3) for k in range(4000)]
+    text = lambda n: " ".join(rng.choices(words, zipf, k=n))
+    long = [text(n) for n in (150, 500, 20, 65, 200)]
+    items = spark.createDataFrame([*enumerate(long), *[(100 + k, text(40)) for k in range(60)]], "item_id long, text string")
+    docs = docs_of(spark, [text(77) + " " + t + " " + text(300) for t in long] + [text(400), " ".join(long[1].split()[:250])])
+    got = contaminated(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in range(5)] and all(r.question == r.answer == 1 for r in got)
+
+
 def test_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(20, 16))
