@@ -8,13 +8,14 @@ the threshold are verified: enough of the question's, and of the answer's, five-
 in the document. The answer is an item's last sentence if it has several, else its last third.
 
 The index has a bound: ``max_index_words`` postings are broadcast at once, longer benchmarks go in
-as many rounds as they need. Null and empty texts and items match nothing; items with fewer than
+as many rounds as they need; document frequencies and the mean length are those of all rounds. Null and empty texts and items match nothing; items with fewer than
 five words are one shingle of that many; repeated rows are judged each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,6 +75,44 @@ def plain(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return words_of(texts, between=SEPARATES)
 
 
+@dataclass
+class ItemStats:
+    """Of all items: number of parts, their mean length, and the terms with the number of parts that hold each."""
+
+    parts: int
+    mean: float
+    terms: np.ndarray
+    holding: np.ndarray
+
+    def of(self, term: int) -> int:
+        return int(self.holding[np.searchsorted(self.terms, np.uint64(term))])
+
+
+def item_stats(rows: DataFrame, item_text: str, config: DecontaminationConfig) -> ItemStats:
+    """By one pass over the items; the driver takes a row for each distinct term."""
+
+    def count(part, texts):
+        terms, n, parts, total = [], [], 0, 0
+        for t in texts:
+            words = plain([t])[0]
+            if len(words):
+                for piece in parts_of(words, config.window):
+                    terms.append(np.unique(piece))
+                    parts, total = parts + 1, total + len(piece)
+        if not parts:
+            return None
+        terms, n = np.unique(np.concatenate(terms), return_counts=True)
+        kind = np.concatenate((np.zeros(len(terms), np.int32), np.array([1, 2], np.int32)))
+        return record(kind=kind, term=np.concatenate((terms.view(np.int64), [0, 0])), n=np.concatenate((n, [parts, total])).astype(np.int64))
+
+    got = over_texts(rows, item_text, count, "kind int, term long, n long").groupBy("kind", "term").agg(F.sum("n").alias("n")).toArrow()
+    kind, term, n = (got.column(k).to_numpy() for k in ("kind", "term", "n"))
+    parts, total = int(n[kind == 1].sum()), int(n[kind == 2].sum())
+    terms = np.ascontiguousarray(term[kind == 0]).view(np.uint64)
+    by = np.argsort(terms)
+    return ItemStats(parts, total / max(parts, 1), terms[by], n[kind == 0][by])
+
+
 @dataclass
 class ItemIndex:
     """Postings by term: parts of items, scores (as shares of the part's score against itself), and the largest score of each block of postings."""
@@ -106,13 +145,15 @@ class ItemIndex:
         self.all_scores = np.concatenate([*self.scores, np.zeros(0)])
 
     @classmethod
-    def build(cls, rows: list[tuple[object, str]], config: DecontaminationConfig) -> ItemIndex:
+    def build(cls, rows: list[tuple[object, str]], config: DecontaminationConfig, stats: ItemStats | None = None) -> ItemIndex:
+        """The index of ``rows``; ``stats`` where these are not all items."""
         rows = [(i, t) for i, t in rows if t and len(plain([t])[0])]
         whole = [plain([t])[0] for _, t in rows]
         cut = [parts_of(w, config.window) for w in whole]
         owner = np.repeat(np.arange(len(rows)), [len(c) for c in cut]).astype(np.int64)
         words = [w for c in cut for w in c]
-        mean = np.mean([len(w) for w in words]) if words else 1.0
+        mean = stats.mean if stats else np.mean([len(w) for w in words]) if words else 1.0
+        n = stats.parts if stats else len(words)
         by_term: dict[int, list[tuple[int, float]]] = {}
         for k, w in enumerate(words):
             for term, tf in zip(*np.unique(w, return_counts=True), strict=True):
@@ -122,7 +163,8 @@ class ItemIndex:
         best = np.zeros(len(words))
         for term in terms:
             post = by_term[int(term)]
-            idf = np.log(1 + (len(words) - len(post) + 0.5) / (len(post) + 0.5))
+            df = stats.of(int(term)) if stats else len(post)
+            idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
             items.append(np.array([k for k, _ in post]))
             scores.append(np.array([s for _, s in post]) * idf)
             best[items[-1]] += scores[-1]
@@ -245,20 +287,25 @@ def overlap(part: np.ndarray, whole: np.ndarray) -> float:
 
 def contaminated(docs: DataFrame, items: DataFrame, config: DecontaminationConfig = DecontaminationConfig(), doc_id="doc_id", text="text", item_id="item_id", item_text="text") -> DataFrame:
     """doc_id, item_id, score, question, answer (shares found) of all verified pairs; one row a document row and item."""
-    spark = docs.sparkSession
-    rows = items.filter(F.col(item_text).isNotNull()).select(item_id, item_text)
-    total = rows.agg(F.sum(F.size(F.split(item_text, r"\s+"))).alias("n")).first()["n"] or 0
-    rounds = max(1, -(-total // config.max_index_words))
     kinds = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, score double, question double, answer double"
     out = None
-    for k in range(rounds):
-        some = rows if rounds == 1 else rows.filter(F.pmod(F.xxhash64(item_id, item_text), F.lit(rounds)) == k)
-        index = ItemIndex.build(sorted(((r[0], r[1]) for r in some.collect()), key=str), config)
+    for index in indexes(items, config, item_id, item_text):
         found = searched(docs.select(doc_id, text), index, config, doc_id, text, kinds)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def indexes(items: DataFrame, config: DecontaminationConfig, item_id: str, item_text: str) -> Iterator[ItemIndex]:
+    """The index of each round, one at least."""
+    rows = items.filter(F.col(item_text).isNotNull()).select(item_id, item_text)
+    total = rows.agg(F.sum(F.size(F.split(item_text, r"\s+"))).alias("n")).first()["n"] or 0
+    rounds = max(1, -(-total // config.max_index_words))
+    stats = item_stats(rows, item_text, config) if rounds > 1 else None
+    for k in range(rounds):
+        some = rows if rounds == 1 else rows.filter(F.pmod(F.xxhash64(item_id, item_text), F.lit(rounds)) == k)
+        yield ItemIndex.build(sorted(((r[0], r[1]) for r in some.collect()), key=str), config, stats)
+
+
 def searched(docs: DataFrame, index: ItemIndex, config: DecontaminationConfig, doc_id: str, text: str, kinds: str) -> DataFrame:
     shared = Shared(docs.sparkSession, index)
 

@@ -9,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from synodic.llm.benchmarks import contaminated, decontaminate
+from synodic.llm.benchmarks import DecontaminationConfig, contaminated, decontaminate
 from synodic.llm.jaccard import JaccardConfig, drop_near_copies, jaccard_join
 from synodic.llm.language import LanguageConfig, language
 from synodic.llm.licenses import find_licenses
@@ -163,6 +163,14 @@ def test_decontamination_of_long_items(spark):
     assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in range(5)] and all(r.question == r.answer == 1 for r in got)
 
 
+def test_decontamination_in_rounds(spark):
+    base = [t for t in corpus(90, 5)[::3] if t and len(t.split()) > 30]
+    items = spark.createDataFrame(list(enumerate(base[:8])), "item_id long, text string")
+    docs = docs_of(spark, [base[10] + " " + " ".join([*(w := t.split())[:12], "zzz", *w[13:]]) for t in base[:8]])
+    whole, rounds = ({(r.doc_id, r.item_id): r.score for r in contaminated(docs, items, c).collect()} for c in (DecontaminationConfig(), DecontaminationConfig(max_index_words=100)))
+    assert len(whole) >= 8 and min(whole.values()) < 1 and whole.keys() == rounds.keys() and all(abs(whole[k] - rounds[k]) < 1e-9 for k in whole)
+
+
 def test_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(20, 16))
