@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, IS_SPACE, over_texts, record, splitmix, words_of, written
+from .common import Shared, IS_SPACE, over_texts, record, splitmix, words_of
 
 SHINGLE = 5
 
@@ -306,31 +306,47 @@ def indexes(items: DataFrame, config: DecontaminationConfig, item_id: str, item_
         yield ItemIndex.build(sorted(((r[0], r[1]) for r in some.collect()), key=str), config, stats)
 
 
+def verified(texts: list[str], index: ItemIndex, config: DecontaminationConfig) -> list[tuple[int, int, float, float, float]]:
+    """(place of the text, item, score, question, answer) of retrieved items that stand in the text."""
+    words, counts = plain(texts)
+    cuts = np.concatenate(([0], np.cumsum(counts)))
+    out, whole = [], {}
+    for (k, item), score in sorted(index.passages(words, counts, config).items()):
+        size = index.sizes[item]
+        if (k, size) not in whole:
+            whole = {(k, size): np.unique(shingles(words[cuts[k] : cuts[k + 1]], size))}
+        q, a = overlap(index.question[item], whole[k, size]), overlap(index.answer[item], whole[k, size])
+        if q >= config.question and a >= config.answer:
+            out.append((k, item, score, q, a))
+    return out
+
+
 def searched(docs: DataFrame, index: ItemIndex, config: DecontaminationConfig, doc_id: str, text: str, kinds: str) -> DataFrame:
     shared = Shared(docs.sparkSession, index)
 
     def rows(part, texts):
-        index, out = shared.value, []
-        words, counts = plain(texts)
-        cuts = np.concatenate(([0], np.cumsum(counts)))
-        ids = part.column(doc_id).to_pylist()
-        whole: dict[tuple[int, int], np.ndarray] = {}
-        for (k, item), score in sorted(index.passages(words, counts, config).items()):
-            size = index.sizes[item]
-            if (k, size) not in whole:
-                whole = {(k, size): np.unique(shingles(words[cuts[k] : cuts[k + 1]], size))}
-            q, a = overlap(index.question[item], whole[k, size]), overlap(index.answer[item], whole[k, size])
-            if q >= config.question and a >= config.answer:
-                out.append((ids[k], index.ids[item], score, q, a))
-        if not out:
+        found = verified(texts, shared.value, config)
+        if not found:
             return None
-        columns = list(zip(*out, strict=True))
-        return record(doc_id=pa.array(columns[0], part.schema.field(doc_id).type), item_id=columns[1], score=columns[2], question=columns[3], answer=columns[4])
+        at, items, score, q, a = zip(*found, strict=True)
+        return record(doc_id=part.column(doc_id).take(pa.array(at)), item_id=[shared.value.ids[k] for k in items], score=score, question=q, answer=a)
 
     return over_texts(docs, text, rows, kinds)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, config: DecontaminationConfig = DecontaminationConfig(), doc_id="doc_id") -> DataFrame:
-    """The rows of ``docs`` that hold no test item."""
-    bad = written(contaminated(docs, items, config, doc_id).select("doc_id").distinct())
-    return docs.join(bad.withColumnRenamed("doc_id", doc_id), doc_id, "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, items: DataFrame, config: DecontaminationConfig = DecontaminationConfig(), text="text", item_id="item_id", item_text="text") -> DataFrame:
+    """The rows of ``docs`` that hold no test item, each row judged by its own text whatever its id."""
+    for index in indexes(items, config, item_id, item_text):
+        docs = clean(docs, index, config, text)
+    return docs
+
+
+def clean(docs: DataFrame, index: ItemIndex, config: DecontaminationConfig, text: str) -> DataFrame:
+    shared = Shared(docs.sparkSession, index)
+
+    def rows(part, texts):
+        keep = np.ones(len(texts), dtype=bool)
+        keep[[k for k, *_ in verified(texts, shared.value, config)]] = False
+        return part.filter(pa.array(keep))
+
+    return over_texts(docs, text, rows, docs.schema)

@@ -171,6 +171,17 @@ def test_decontamination_in_rounds(spark):
     assert len(whole) >= 8 and min(whole.values()) < 1 and whole.keys() == rounds.keys() and all(abs(whole[k] - rounds[k]) < 1e-9 for k in whole)
 
 
+def test_decontamination_by_row(spark):
+    base = [t for t in corpus(90, 5)[::3] if t and len(t.split()) > 30]
+    items = spark.createDataFrame(list(enumerate(base[:5])), "item_id long, text string")
+    texts = [(None, base[0]), (None, base[10]), (1, base[1]), (1, base[11]), (2, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1, 0.5, "x") for k, t in texts], SCHEMA)
+    for config in (DecontaminationConfig(), DecontaminationConfig(max_index_words=100)):
+        kept = decontaminate(docs, items, config)
+        assert kept.columns == docs.columns and {(r.doc_id, r.text) for r in kept.collect()} == {(None, base[10]), (1, base[11]), (2, None)}
+    assert decontaminate(docs, items.limit(0)).count() == 5
+
+
 def test_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(20, 16))
