@@ -1,9 +1,9 @@
 """License scans with DataFrame functions only: a positional index of rare license words.
 
-Words of a text are looked up in a fixed index of license templates, the words with the highest
-inverse document frequency of each text first; postings that agree on the relative position between
-text and template are intersected, and a template counts where its mandatory key phrase stands in
-the text. The three base phrases are found beside that wherever their words stand consecutively.
+Words of a text are looked up in a fixed index of license templates, which holds their words of high
+inverse document frequency; a template is a candidate where its mandatory key phrase stands in the
+text, postings of all index words that agree on the relative position between text and candidate are
+intersected, and their weight is held against that of the whole template. The three base phrases are found beside that wherever their words stand consecutively.
 
 Null texts count as empty: no words, no labels, score 0. Repeated rows are scanned each; other
 columns are ignored. Ties in frequency go to the word first in the alphabet.
@@ -45,9 +45,8 @@ NAMES = {"mit-notice": "mit"}
 
 @dataclass(frozen=True)
 class LicenseConfig:
-    """``top`` license words of a text are looked up; ``share`` of what these could weigh in a template must agree."""
+    """``share`` of what a template's index words weigh must agree."""
 
-    top: int = 12
     share: float = 0.6
 
 
@@ -98,13 +97,10 @@ def find_licenses(docs: DataFrame, config: LicenseConfig = LicenseConfig(), doc_
     seen = words.groupBy("t", "row").agg(F.count("*").alias("k")).groupBy("t").agg(F.count("*").alias("df"))
     # as many rows as the index has words
     idf = F.broadcast(seen.select("t", F.log((F.lit(n) + 1.0) / F.col("df")).alias("idf")))
-    kinds = table.filter(F.size("hits") > 0).select("row", F.explode(F.array_distinct("hits.t")).alias("t")).join(idf, "t")
-    best = kinds.groupBy("row").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("idf")).alias("i"), "t"))), 1, config.top).alias("best"))
     posted = F.broadcast(spark.createDataFrame(postings(), "t string, template string, q int"))
     # what a template weighs: its index words, a word that no text holds as if one did
     full = posted.join(idf, "t", "left").groupBy("template").agg(F.sum(F.coalesce("idf", F.log(F.lit(n + 1.0)))).alias("full"))
-    looked = words.join(best.select("row", F.col("best.t").alias("top")), "row").filter(F.array_contains("top", F.col("t")))
-    met = looked.join(posted, "t").join(idf, "t").filter(F.array_contains("keys", F.col("template")))
+    met = words.filter(F.size("keys") > 0).join(posted, "t").join(idf, "t").filter(F.array_contains("keys", F.col("template")))
     met = met.groupBy("row", "template", (F.col("p") - F.col("q")).alias("at")).agg(F.sum("idf").alias("weight"))
     met = met.join(F.broadcast(full), "template").select("row", "template", (F.col("weight") / F.col("full")).alias("share"))
     label = F.col("template")

@@ -12,7 +12,7 @@ import pytest
 from synodic.llm.benchmarks import DecontaminationConfig, contaminated, decontaminate
 from synodic.llm.jaccard import JaccardConfig, drop_near_copies, jaccard_join
 from synodic.llm.language import LanguageConfig, language
-from synodic.llm.licenses import find_licenses
+from synodic.llm.licenses import TEMPLATES, find_licenses
 from synodic.llm.pieces import PieceModel, encode_table
 from synodic.llm.quality import quality
 from synodic.llm.secrets import find_secrets, redact, scan
@@ -140,6 +140,13 @@ def test_licenses(spark):
     assert (rows[6].n_words, rows[6].n_base, rows[6].first_word, rows[6].last_word) == (5, 2, 0, 2)
 
 
+def test_several_licenses(spark):
+    full = lambda *names: "\n\n".join(f"Part of {n}: {TEMPLATES[n][0]}." for n in names)
+    sets = [("mit", "bsd", "apache"), ("mit", "bsd", "gpl"), ("agpl", "bsd", "mit"), ("apache", "bsd", "isc", "mit", "mpl", "unlicense")]
+    rows = {r.doc_id: r for r in find_licenses(docs_of(spark, [full(*s) for s in sets] + ["plain words"] * 20)).collect()}
+    assert all(set(s) <= set(rows[k].labels.split(",")) and rows[k].score == 1 for k, s in enumerate(sets))
+
+
 def test_decontamination(spark):
     base = [t for t in corpus(90, 5)[::3] if t and len(t.split()) > 30]
     items = spark.createDataFrame([(k, t) for k, t in enumerate(base[:5])] + [(77, None), (78, "")], "item_id long, text string")
