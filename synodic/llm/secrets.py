@@ -1,8 +1,9 @@
 """Secret scans: base patterns, and multipart credentials linked by an interval join.
 
 Weak candidates (access identifiers, plain secrets, endpoints) are found as spans; spans of different
-kinds are joined where one begins within ``reach`` code points of the other's end and both stand in
-the same scope (a stretch of text without an empty line). A weak secret is reported only next to an
+kinds are joined where both stand in the same scope (a stretch of text without an empty line), and, if
+``reach`` is given, one begins within so many code points of the other's end. Names may have a prefix
+(DB_USER, AWS_ACCESS_KEY_ID); spans begin at the name without it. A weak secret is reported only next to an
 identifier, an identifier or endpoint only next to a secret. Null texts count as empty; repeated rows
 are scanned each; other columns pass through ``redact``.
 """
@@ -27,16 +28,16 @@ HEX_LONG = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
 # Weak candidates of the method: they count only together.
-IDENT = re.compile(r"""\b(?:user(?:_?name|_?id)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.=-]{3,})""", re.I | re.A)
-WEAK = re.compile(r"""\b(?:pass|pwd|pw|auth|credential|private_?key|client_?key|signature|sig)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})""", re.I | re.A)
-ENDPOINT = re.compile(r"""\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh)://[^\s"'<>]+|\b(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::[0-9]+)?""", re.I | re.A)
+IDENT = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:_?name|_?id)?|login|client_?id|account(?:_?id)?|(?<!secret_)access_?key(?:_?id)?|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.=-]{3,})""", re.I | re.A)
+WEAK = re.compile(r"""(?<![A-Za-z0-9])(?:pass|pwd|pw|auth|credential|secret_?(?:access_?)?key|private_?key|client_?key|signature|sig)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})""", re.I | re.A)
+ENDPOINT = re.compile(r"""(?<![A-Za-z0-9])(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh)://[^\s"'<>]+|(?<![A-Za-z0-9])(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::[0-9]+)?""", re.I | re.A)
 SIGNS_OF_WEAK = (":", "=")
 SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
 
 
 @dataclass(frozen=True)
 class SecretConfig:
-    reach: int = 200
+    reach: int | None = None
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -56,12 +57,12 @@ def ordered(spans: list) -> list:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def interval_join(left: list, right: list, reach: int, scopes: list[int]) -> set[int]:
-    """Places in ``left`` of spans with a span of ``right`` within reach in the same scope; both by start.
+def interval_join(left: list, right: list, reach: int | None, scopes: list[int]) -> set[int]:
+    """Places in ``left`` of spans with a span of ``right`` in the same scope, within reach if given; both by start.
 
-    One binary search a span and the few neighbours that begin within reach: existence is asked for,
-    so a crowd of parts costs no pairs.
+    One binary search a span: existence is asked for, so a crowd of parts costs no pairs.
     """
+    reach = 1 << 62 if reach is None else reach
     starts = [s for _, s, _ in right]
     far = []  # the largest end so far, to look back from a start
     for _, _, e in right:
