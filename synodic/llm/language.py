@@ -1,8 +1,9 @@
 """Language ID: interpolated Kneser-Ney character models, kept in sorted hash arrays.
 
 The text is lower-cased, every run of other signs than letters becomes one space. The language with
-the lowest cross-entropy per sign is chosen; a document is rejected if its cross-entropy lies beyond
-what a calibration sample of that language shows. Null texts and texts without letters are ``und``,
+the lowest cross-entropy per sign is chosen; a document is rejected if its cross-entropy lies far
+beyond what all but the last hundredth of a calibration sample of that language shows, or beyond
+that of signs drawn evenly from the languages' letters. Null texts and texts without letters are ``und``,
 score 0, rejected; ties go to the first language by name; repeated rows are judged each.
 """
 
@@ -86,6 +87,7 @@ class LanguageModels:
     floor: np.ndarray
     mean: np.ndarray
     spread: np.ndarray
+    most: float = np.inf
 
     def logs(self, code: np.ndarray) -> np.ndarray:
         n = len(code)
@@ -133,6 +135,7 @@ class LanguageModels:
         low = ce[np.arange(len(ce)), best]
         score = 1 / np.exp(-np.minimum(letters, 60)[:, None] * (ce - low[:, None])).sum(1)
         limit = self.mean[best] + slack * self.spread[best] / np.sqrt(np.minimum(np.maximum(letters, 1), 400))
+        limit = np.minimum(limit, self.most)
         some = letters > 0
         return [self.names[b] if ok else "und" for b, ok in zip(best, some, strict=True)], np.where(some, score, 0.0), ~some | (low > limit), low
 
@@ -183,6 +186,22 @@ def kneser_ney(counts: dict[str, Counter], order: int, discount: float) -> Langu
     return LanguageModels(names, order, probs, backs, floor, np.zeros(len(names)), np.ones(len(names)))
 
 
+def even_entropy(counts: dict[str, Counter], share: float = 0.999) -> float:
+    """Nats per sign of even draws from the signs that make up ``share`` of each language's, so that a stray row adds none."""
+    kept = set()
+    for grams in counts.values():
+        signs_of = Counter()
+        for g, c in grams.items():
+            signs_of[g[-1]] += c
+        seen, total = 0, sum(signs_of.values())
+        for sign, c in signs_of.most_common():
+            if seen >= share * total:
+                break
+            kept.add(sign)
+            seen += c
+    return float(np.log(len(kept) + 1))
+
+
 def fit_language(docs: DataFrame, config: LanguageConfig = LanguageConfig(), doc_id="doc_id", text="text", lang="lang", allowed=None) -> LanguageModels:
     """Learn from text and non-null lang where ``allowed`` (default: crc32(id) mod 3 is not 1) holds.
 
@@ -229,10 +248,12 @@ def fit_language(docs: DataFrame, config: LanguageConfig = LanguageConfig(), doc
     seen = over_texts(sample, text, measure, "own long, ce double, n long").toPandas()
     for i in range(len(models.names)):
         part = seen[seen.own == i]
-        mean = float(np.average(part.ce, weights=np.minimum(part.n, 400))) if len(part) else 3.0
+        # stray rows do not move the median
+        mean = float(np.median(part.ce)) if len(part) else 3.0
         over = (part.ce - mean) * np.sqrt(np.minimum(part.n, 400)) if len(part) else np.array([4.0])
-        # the farthest document of the calibration sample, and never less than a third of a nat over 400 signs
-        models.mean[i], models.spread[i] = mean, max(float(np.max(over)), 7.0)
+        # beyond the last hundredth, one document at least, so that a stray row moves nothing; never less than a quarter of a nat over 400 signs
+        models.mean[i], models.spread[i] = mean, max(float(np.quantile(over, 0.99, method="lower")), 5.0)
+    models.most = even_entropy(counts)
     return models
 
 

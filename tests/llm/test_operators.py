@@ -268,6 +268,23 @@ def test_language(spark):
     assert {r.lang_pred for r in language(docs.filter("lang is null")).collect()} == {"und"}
 
 
+def test_language_rejects_despite_a_stray_row(spark):
+    rng = random.Random(14)
+    parts = {"fr": ("ou", "eau", "la", "ment"), "en": ("th", "er", "ing", "wh")}
+    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(3)) for _ in range(n))
+    drawn = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n))
+    foreign = "Все люди рождаются свободными и равными в своем достоинстве и правах"
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw"
+    rows = [(k, text(lang, 30), lang) for k in range(400) for lang in [("en", "fr")[k % 2]]]
+    # an id that goes to the calibration half
+    stray = spark.range(1000, 1100).filter("crc32(cast(cast(id as string) as binary)) % 3 != 1 and pmod(shiftright(xxhash64(id), 21), 2) = 0").first()[0]
+    clean = [(2000 + k, text(lang, n), None) for k, (lang, n) in enumerate([("fr", 3), ("en", 3), ("fr", 30), ("en", 30)])]
+    odd = [(3000 + k, t, None) for k, t in enumerate([drawn(25), drawn(60), drawn(400), foreign, polish, foreign[:25]])]
+    docs = spark.createDataFrame([(k, t, lang, "s", 1, 0.5, "x") for k, t, lang in [*rows, (stray, foreign, "fr"), *clean, *odd]], SCHEMA)
+    got = {r.doc_id: r.rejected for r in language(docs).collect()}
+    assert not any(got[k] for k, *_ in rows + clean) and all(got[k] for k, *_ in odd)
+
+
 def test_empty_tables(spark):
     docs, labels, _ = labelled(spark)
     none = docs.limit(0)
