@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,9 +18,11 @@ MASK = (1 << 64) - 1
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of this process only where the setting is absent."""
+    """The shared folder of spark.checkpoint.dir; where it is unset, a folder of this machine in local mode, and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="synodic-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -31,17 +34,35 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def written(frame: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared folder: cuts lineage, survives lost executors.
 
-    Once the table stands, the shuffle files that made it are of no more use and are removed.
+    The write runs in a copy of the session, in which shuffle files go once the table stands; the
+    session itself keeps its settings.
     """
     spark = frame.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    own = spark._jsparkSession.cloneSession()
+    own.conf().set(CLEANUP, "true")
+    jvm = spark.sparkContext._jvm
+    jvm.org.apache.spark.sql.classic.Dataset.ofRows(own, frame._jdf.logicalPlan()).write().parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def dropped(spark: SparkSession, *frames: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for frame in frames:
+        where = jvm.org.apache.hadoop.fs.Path(frame.written_at)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def released() -> None:
+    """Give freed memory of this worker back to the system, at the end of a task."""
+    pa.default_memory_pool().release_unused()
     try:
-        frame.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(frame.schema).parquet(path)
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 class Shared:
@@ -72,7 +93,7 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.R
             yield batch.slice(int(a), int(b - a))
 
 
-def over_texts(frame: DataFrame, text: str, fn: Callable, schema: str, limit: int = 1 << 20) -> DataFrame:
+def over_texts(frame: DataFrame, text: str, fn: Callable, schema: str, limit: int = 1 << 18) -> DataFrame:
     """fn(part, texts) -> RecordBatch over byte-bounded parts of Arrow batches; null texts come as ''."""
 
     def run(batches):
@@ -81,6 +102,7 @@ def over_texts(frame: DataFrame, text: str, fn: Callable, schema: str, limit: in
                 out = fn(part, ["" if t is None else t for t in part.column(text).to_pylist()])
                 if out is not None and out.num_rows:
                     yield out
+        released()
 
     return frame.mapInArrow(run, schema)
 

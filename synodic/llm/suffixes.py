@@ -6,19 +6,25 @@ byte for byte, form a class, and a class belongs to its smallest document.
 
 Only what could repeat is sorted. A string of 50 bytes is keyed by the smallest hash of the 20-byte
 grams in it, so equal strings have equal keys; strings that follow each other with one key are a run.
-Keys that one document has alone drop out (a bitmap of fixed size passes over most of them, a filled
-one only lets more through). Runs that equal a run of a smaller document as a whole are covered at
-once; where a key has several different runs, their suffixes are sorted, the runs of a key together.
-Keys of very many documents are not brought together: their strings are compared by 64-bit hash, each
-counted per task first.
-
-Null texts count as empty. Rows with a null id keep all bytes and cover nothing. Rows with one id are
-one document and do not cover each other. Matches never cross documents; other columns are ignored.
+Runs meet by key in one exchange, after each task has merged its equal ones. Runs equal as a whole
+(two independent hashes of all their bytes, 96 bits, beside the 64 bits of the key) are one class, that
+the smallest document represents; all others of the class are covered. Where a key has several classes
+of several documents, the bytes of the representatives are fetched and their suffixes sorted.
+
+A key with very many classes in one task of the first exchange is crowded: its runs meet by class
+instead, and its representatives are sorted in pieces of four strings, keyed by the 47 bytes these have
+in common, so that no key gathers a crowd in one task. The result is the same for any ``crowd``.
+
+Null texts count as empty; texts may be of any length (one text is in memory at a time, about 40 bytes
+for each of its own). Rows with a null id keep all bytes and cover nothing. Rows with one id are one
+document and do not cover each other; ids are cast to long. Ties do not arise: a class goes to the
+smallest id. Matches never cross documents; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,19 +33,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, RADIX, Shared, byte_slices, record, splitmix, written
+from .common import BYTE_VALUES, RADIX, byte_slices, record, released, splitmix, written
 
 GRAM = 20
+PIECE = 4
+PLACE = (1 << 36) - 1
+OTHER_VALUES = splitmix(BYTE_VALUES ^ np.uint64(0x5851F42D4C957F2D))
+OTHER_RADIX = np.uint64(0x9FB21C651E98DF25)
 
 
 @dataclass(frozen=True)
 class SuffixConfig:
-    """``bits`` is the size of the bitmaps; keys of ``hot`` documents or more go by hash, at most ``hottest`` of them."""
+    """``crowd`` classes of a key in one task make it crowded; ``buffer`` runs are merged at once; a bucket holds about ``bucket_bytes`` of text."""
 
     length: int = 50
-    bits: int = 27
-    hot: int = 2000
-    hottest: int = 100_000
+    crowd: int = 32
+    buffer: int = 600_000
+    bucket_bytes: int = 4 << 20
 
 
 def power(n: int) -> np.uint64:
@@ -66,174 +76,383 @@ def gram_hashes(values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+class Prefixes:
+    """Prefix polynomial hashes of bytes: the hash of any stretch in one step."""
+
+    def __init__(self, data: np.ndarray, values: np.ndarray = BYTE_VALUES, radix: np.uint64 = RADIX):
+        n = len(data)
+        self.up = np.full(n + 1, radix, dtype=np.uint64)
+        self.up[0] = 1
+        self.up = np.multiply.accumulate(self.up)
+        # hash of data[i:j] times up[n - i] is the same wherever the stretch stands in arrays of one size
+        self.prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values[data] * self.up[:n], dtype=np.uint64)))
+
+    def between(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (self.prefix[j] - self.prefix[i]) * self.up[len(self.up) - 1 - i]
+
+
+INVERSES: dict = {}
+
+
+def inverse_powers(n: int, radix: np.uint64) -> np.ndarray:
+    """Powers of the inverse of an odd radix; the longest so far is kept."""
+    got = INVERSES.get(int(radix))
+    if got is None or len(got) < n + 1:
+        got = np.full(max(n + 1, 1 << 17), pow(int(radix), -1, 1 << 64), dtype=np.uint64)
+        got[0] = 1
+        got = np.multiply.accumulate(got)
+        if len(got) <= 1 << 21:
+            INVERSES[int(radix)] = got
+    return got
+
+
+def stretch_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, values: np.ndarray, radix: np.uint64) -> np.ndarray:
+    """Hashes of stretches of bytes that do not depend on where they stand."""
+    n = len(data)
+    up = np.full(n + 1, radix, dtype=np.uint64)
+    up[0] = 1
+    up = np.multiply.accumulate(up)
+    prefix = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(values[data] * up[:n], out=prefix[1:])
+    return splitmix((prefix[end] - prefix[begin]) * inverse_powers(n, radix)[begin] + (end - begin).astype(np.uint64))
+
+
 @dataclass
 class Runs:
-    """Runs of a slice: key, document row, first window (in the document), number of windows, where it lies in the bytes."""
+    """Runs of a slice: key, document row, first string (in the document), number of strings, two hashes of all bytes."""
 
     key: np.ndarray
     row: np.ndarray
     start: np.ndarray
     count: np.ndarray
-    at: np.ndarray
-    data: np.ndarray
-    grams: np.ndarray
+    whole: np.ndarray
+    check: np.ndarray
 
 
-def runs_of(texts: list[str], length: int) -> Runs:
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+def runs_of(raw: list[bytes], length: int) -> Runs | None:
     sizes = np.array([len(r) for r in raw], dtype=np.int64)
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
     ends = np.cumsum(sizes)
-    none = np.empty(0, dtype=np.int64)
-    if len(data) < length:
-        return Runs(none.astype(np.uint64), none, none, none, none, data, none.astype(np.uint64))
-    values = BYTE_VALUES[data]
-    grams = splitmix(gram_hashes(values, GRAM))
-    # smallest gram of each window by doubling
+    if not len(sizes) or sizes.max() < length:
+        return None
+    grams = splitmix(gram_hashes(BYTE_VALUES[data], GRAM))
+    # smallest gram of each string by doubling
     span, low, at = length - GRAM + 1, grams, 1
     while 2 * at <= span:
         low = np.minimum(low[: len(low) - at], low[at:])
         at *= 2
-    low = np.minimum(low[: len(grams) - span + 1], low[span - at :][: len(grams) - span + 1])
-    ok = np.ones(len(low), dtype=bool)
-    for e in ends[:-1]:
+    n = len(grams) - span + 1
+    low = np.minimum(low[:n], low[span - at :][:n])
+    ok = np.ones(n, dtype=bool)
+    for e in ends[:-1].tolist():
         ok[max(0, e - length + 1) : e] = False
     place = np.flatnonzero(ok)
     if not len(place):
-        return Runs(none.astype(np.uint64), none, none, none, none, data, none.astype(np.uint64))
+        return None
     key = low[place]
     first = np.concatenate(([True], (key[1:] != key[:-1]) | (np.diff(place) != 1)))
     at = place[first]
     count = np.diff(np.append(np.flatnonzero(first), len(place)))
     row = np.searchsorted(ends, at, side="right")
-    return Runs(key[first], row, at - (ends - sizes)[row], count, at, data, grams)
+    end = at + count + length - 1
+    whole = stretch_hashes(data, at, end, BYTE_VALUES, RADIX)
+    check = stretch_hashes(data, at, end, OTHER_VALUES, OTHER_RADIX).astype(np.uint32)
+    return Runs(key[first], row, at - (ends - sizes)[row], count, whole, check)
 
 
-def window_hashes(grams: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the windows that begin at these places, from the grams that cover them."""
-    out = np.zeros(len(at), dtype=np.uint64)
-    for step in (*range(0, length - GRAM, GRAM), length - GRAM):
-        out = splitmix(out + grams[at + step])
-    return out
+def mark_of(raw: bytes) -> int:
+    """What a place carries above its 36 bits, so that rows with one id are told apart."""
+    return (zlib.crc32(raw) & 0x7FFFFFF) << 36
 
 
-def spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For runs of these lengths: the run of each element, and its place in the run."""
-    owner = np.repeat(np.arange(len(count)), count)
-    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+COLUMNS = (("doc", np.int64), ("place", np.int64), ("count", np.int32), ("flag", np.int8), ("check", np.uint32), ("key", np.uint64), ("whole", np.uint64))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, Runs]]:
-    """(ids of the runs, runs) slice by slice; rows without an id are left out."""
-    for batch in batches:
-        batch = batch.filter(batch.column("doc_id").is_valid())
-        for part in byte_slices(batch, "text", 1 << 18):
-            runs = runs_of(["" if t is None else t for t in part.column("text").to_pylist()], length)
-            if len(runs.key):
-                yield part.column("doc_id").to_numpy(zero_copy_only=False)[runs.row], runs
+def blob_of(t: dict[str, np.ndarray]) -> bytes:
+    """Rows as bytes, column by column, bytes of like weight together so that they compress."""
+    return b"".join(np.ascontiguousarray(t[c].astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T).tobytes() for c, kind in COLUMNS)
+
 
+def from_blob(raw: bytes) -> dict[str, np.ndarray]:
+    n, at, out = len(raw) // sum(np.dtype(k).itemsize for _, k in COLUMNS), 0, {}
+    for c, kind in COLUMNS:
+        size = np.dtype(kind).itemsize
+        out[c] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
+        at += n * size
+    return out
 
-def keys_of(docs: DataFrame, config: SuffixConfig) -> DataFrame:
-    """(key, n) of keys that two documents or more have."""
 
-    def counted(keys: list, ids: list):
-        key, doc = np.concatenate(keys), np.concatenate(ids)
-        by = np.lexsort((doc, key))
-        key, doc = key[by], doc[by]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
-        key = key[new]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        return record(key=key[first].view(np.int64), n=np.diff(np.append(first, len(key))))
+def taken(t: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
+    return {c: v[at] for c, v in t.items()}
+
+
+def together(parts: list[dict]) -> dict[str, np.ndarray]:
+    return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+
+
+def repeated(key: np.ndarray) -> np.ndarray:
+    """Places of rows whose key another row has, in order of the key."""
+    by = np.argsort(key, kind="stable")
+    k = key[by]
+    same = np.concatenate(([False], k[1:] == k[:-1], [False]))
+    return by[same[1:] | same[:-1]]
+
+
+def classes(t: dict[str, np.ndarray]) -> tuple[dict, np.ndarray, np.ndarray]:
+    """The rows by key and class, the smallest document and place first; where a class begins; the first row of each row's class."""
+    t = taken(t, np.lexsort((t["place"], t["doc"], t["check"], t["whole"], t["key"])))
+    new = np.ones(len(t["key"]), dtype=bool)
+    new[1:] = (t["key"][1:] != t["key"][:-1]) | (t["whole"][1:] != t["whole"][:-1]) | (t["check"][1:] != t["check"][:-1]) | (t["count"][1:] != t["count"][:-1])
+    return t, new, np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
+# What happens to a document: COVER strings place to place+count; FOLLOW: strings from ``more`` on fare as those from ``place`` on;
+# FETCH: the bytes of a run of the key ``more`` are asked for, CROWDED: in pieces.
+COVER, FOLLOW, FETCH, CROWDED, TEXT = range(5)
+EVENT = "kind int, doc long, place long, count int, more long"
+
+
+def events(kind: int, doc, place, count, more=None) -> pa.RecordBatch:
+    n = len(doc)
+    return record(kind=np.full(n, kind, np.int32), doc=doc.astype(np.int64), place=place.astype(np.int64), count=count.astype(np.int32), more=np.zeros(n, np.int64) if more is None else more.astype(np.int64))
+
+
+def merged(doc: np.ndarray, place: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of strings that touch made one."""
+    by = np.lexsort((place, doc))
+    doc, place, end = doc[by], place[by], (place + count)[by]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (place[1:] > end[:-1])
+    at = np.flatnonzero(new)
+    return doc[at], place[at], (np.maximum.reduceat(end, at) - place[at]) if len(at) else end
+
+
+def settled(t: dict, new: np.ndarray, first: np.ndarray) -> tuple[pa.RecordBatch | None, pa.RecordBatch | None]:
+    """Covered and following runs of classes."""
+    over, own = t["doc"] > t["doc"][first], ~new & (t["doc"] == t["doc"][first])
+    cover = events(COVER, *merged(t["doc"][over], t["place"][over], t["count"][over].astype(np.int64))) if over.any() else None
+    return cover, events(FOLLOW, t["doc"][own], t["place"][first[own]], t["count"][own], t["place"][own]) if own.any() else None
+
+
+def dealt_runs(docs: DataFrame, bits: int, config: SuffixConfig) -> DataFrame:
+    """(bucket, blob, event columns): the distinct runs of each task by bucket of the key, and the events that the task itself can tell."""
+
+    def sent(held: list):
+        t = together(held)
+        some = repeated(t["key"])
+        alone = np.ones(len(t["key"]), dtype=bool)
+        alone[some] = False
+        parts = [taken(t, np.flatnonzero(alone))]
+        route = [parts[0]["key"]]
+        if len(some):
+            t, new, first = classes(taken(t, some))
+            for told in settled(t, new, first):
+                if told is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(told.num_rows, dtype=np.int32) % (1 << bits)), pa.nulls(told.num_rows, pa.binary()), *told.columns], names=["bucket", "blob", *told.schema.names])
+            t = taken(t, np.flatnonzero(new))
+            begin = np.flatnonzero(np.concatenate(([True], t["key"][1:] != t["key"][:-1])))
+            size = np.diff(np.append(begin, len(t["key"])))
+            crowded = np.repeat(size >= config.crowd, size)
+            t["flag"] = crowded.astype(np.int8)
+            parts.append(t)
+            route.append(np.where(crowded, splitmix(t["whole"] ^ t["key"]), t["key"]))
+            if crowded.any():
+                mark = taken(t, begin[size >= config.crowd])
+                mark["flag"] = np.full(len(mark["key"]), 2, np.int8)
+                parts.append(mark)
+                route.append(mark["key"])
+        t, bucket = together(parts), (np.concatenate(route) >> np.uint64(64 - bits)).astype(np.int32)
+        by = np.argsort(bucket, kind="stable")
+        t, bucket = taken(t, by), bucket[by]
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        blobs = [blob_of({c: v[a:b] for c, v in t.items()}) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
+        nothing = pa.nulls(len(cuts))
+        yield record(bucket=bucket[cuts], blob=pa.array(blobs, pa.binary()), kind=nothing.cast(pa.int32()), doc=nothing.cast(pa.int64()), place=nothing.cast(pa.int64()), count=nothing.cast(pa.int32()), more=nothing.cast(pa.int64()))
 
     def rows(batches):
-        keys, ids, held = [], [], 0
-        for doc, runs in sliced(batches, config.length):
-            keys.append(runs.key)
-            ids.append(doc)
-            held += len(doc)
-            if held > 500_000:
-                yield counted(keys, ids)
-                keys, ids, held = [], [], 0
+        held, n = [], 0
+        for batch in batches:
+            for part in byte_slices(batch, "text", 1 << 16):
+                raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
+                runs = runs_of(raw, config.length)
+                if runs is None:
+                    continue
+                mark = np.array([mark_of(r) for r in raw])
+                held.append({"doc": part.column("doc_id").to_numpy()[runs.row], "place": runs.start + mark[runs.row], "count": runs.count.astype(np.int32), "flag": np.zeros(len(runs.key), np.int8), "check": runs.check, "key": runs.key, "whole": runs.whole})
+                n += len(runs.key)
+                if n >= config.buffer:
+                    yield from sent(held)
+                    held, n = [], 0
         if held:
-            yield counted(keys, ids)
-
-    return docs.mapInArrow(rows, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
-
-
-def bitmap_of(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2**bits by the highest bits of the keys; each task makes its own stretches of 2 kB."""
-    stretch = 14
+            yield from sent(held)
+        released()
+
+    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(rows, f"bucket int, blob binary, {EVENT}")
+
+
+def met_runs(dealt: DataFrame, config: SuffixConfig) -> DataFrame:
+    """Events of all runs, bucket by bucket; what the tasks told passes through."""
+
+    def judged(blobs: list):
+        t = together([from_blob(b) for b in blobs])
+        keep = t["flag"] == 1
+        keep[repeated(t["key"])] = True
+        if not keep.any():
+            return
+        t = taken(t, np.flatnonzero(keep))
+        crowded = np.isin(t["key"], t["key"][t["flag"] == 2])
+        t["flag"] = np.where(crowded & (t["flag"] == 0), 3, t["flag"])
+        t = taken(t, np.flatnonzero(t["flag"] != 2))
+        if not len(t["key"]):
+            return
+        t, new, first = classes(t)
+        yield from (told for told in settled(t, new, first) if told is not None)
+        t = taken(t, np.flatnonzero(new))
+        begin = np.flatnonzero(np.concatenate(([True], t["key"][1:] != t["key"][:-1])))
+        size = np.diff(np.append(begin, len(t["key"])))
+        several = np.minimum.reduceat(t["doc"], begin) != np.maximum.reduceat(t["doc"], begin)
+        many = np.repeat(several & (size >= 16 * config.crowd), size) | (t["flag"] != 0)
+        for kind, at in ((FETCH, np.repeat(several, size) & ~many), (CROWDED, many)):
+            if at.any():
+                yield events(kind, t["doc"][at], t["place"][at], t["count"][at], t["key"][at].view(np.int64))
 
     def rows(batches):
-        held: dict[int, np.ndarray] = {}
+        held, last = [], None
         for batch in batches:
-            at = batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-            for c in np.unique(at >> np.uint64(stretch)):
-                inside = (at[at >> np.uint64(stretch) == c] & np.uint64((1 << stretch) - 1)).astype(np.int64)
-                held.setdefault(int(c), np.zeros(1 << stretch, dtype=bool))[inside] = True
+            told = batch.column("blob").is_null()
+            if (passing := batch.filter(told)).num_rows:
+                yield passing.select(["kind", "doc", "place", "count", "more"])
+            own = batch.filter(pa.array(~told.to_numpy(zero_copy_only=False)))
+            for bucket, blob in zip(own.column("bucket").to_pylist(), own.column("blob").to_pylist(), strict=True):
+                if bucket != last and held:
+                    yield from judged(held)
+                    held = []
+                last = bucket
+                held.append(blob)
         if held:
-            yield record(c=np.array(list(held), dtype=np.int64), m=pa.array([np.packbits(v).tobytes() for v in held.values()], pa.binary()))
-
-    out = np.zeros((1 << (bits - stretch), 1 << (stretch - 3)), dtype=np.uint8)
-    dealt = keys.select("key").repartition(F.shiftrightunsigned("key", 64 - bits + stretch)).sortWithinPartitions("key")
-    for r in dealt.mapInArrow(rows, "c long, m binary").toLocalIterator():
-        out[r["c"]] = np.frombuffer(r["m"], np.uint8)
-    return out.ravel()
+            yield from judged(held)
+        released()
 
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rows, EVENT)
 
-def in_bitmap(bitmap: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
-    at = (key >> np.uint64(64 - bits)).astype(np.int64)
-    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
-
-def first_of(key: np.ndarray, doc: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by key and document; where a new key begins in it; whether the document is the key's smallest."""
-    by = np.lexsort((doc, *more, key))
-    new = np.ones(len(by), dtype=bool)
-    for c in (key, *more):
-        new[1:] &= c[by][1:] == c[by][:-1]
-    new[1:] = ~new[1:]
-    new[0:1] = True
-    least = doc[by][np.flatnonzero(new)][np.cumsum(new) - 1]
-    return by, new, doc[by] == least
-
-
-def candidate_runs(docs: DataFrame, shared: Shared, hot: Shared, config: SuffixConfig) -> DataFrame:
-    """Rows kind 0: a run (key, whole-run hash); 1: a run that a smaller document of the task covers; 2: a window of a hot key (by its hash)."""
-    weights = splitmix(np.arange(1, 4096, dtype=np.uint64))
-
-    def settled(held: list):
-        kind, key, whole, doc, start, count = map(np.concatenate, zip(*held, strict=True))
-        by, new, least = first_of(key, doc, whole, kind)
-        # the same string more than once in the smallest document stays in full
-        kind = np.where(least, kind[by], 1)
-        return record(kind=kind.astype(np.int32), key=key[by].view(np.int64), whole=whole[by].view(np.int64), doc=doc[by].astype(np.int64), start=start[by], count=count[by].astype(np.int32))
+def with_texts(docs: DataFrame, told: DataFrame, fn, schema: str) -> DataFrame:
+    """fn(ids, raw texts, events of each text) over tasks in which the texts and events of a document meet."""
+    nothing = F.lit(None)
+    texts = docs.select(F.lit(TEXT).alias("kind"), F.col("doc_id").alias("doc"), nothing.cast("long").alias("place"), nothing.cast("int").alias("count"), nothing.cast("long").alias("more"), "text")
+    every = told.select("kind", "doc", "place", "count", "more", nothing.cast("string").alias("text")).unionByName(texts)
+    dealt = every.repartition(F.coalesce("doc", F.xxhash64("text"))).sortWithinPartitions("doc", "kind")
+    columns = ("kind", "doc", "place", "count", "more")
 
     def rows(batches):
-        held, n = [], 0
-        for doc, runs in sliced(batches, config.length):
-            some = in_bitmap(shared.value, runs.key, config.bits)
-            if not some.any():
-                continue
-            key, doc, start, count, at = (c[some] for c in (runs.key, doc, runs.start, runs.count, runs.at))
-            owner, k = spread(count)
-            windows = window_hashes(runs.grams, at[owner] + k, config.length)
-            is_hot = np.isin(key, hot.value)
-            whole = splitmix(np.add.reduceat(windows * weights[k % 4095], np.cumsum(count) - count) + count.astype(np.uint64))
-            cold = ~is_hot
-            held.append((np.zeros(cold.sum(), int), key[cold], whole[cold], doc[cold], start[cold], count[cold]))
-            each = is_hot[owner]
-            if each.any():
-                w = windows[each]
-                held.append((np.full(len(w), 2), w, np.zeros(len(w), np.uint64), doc[owner[each]], start[owner[each]] + k[each], np.ones(len(w), int)))
-            n += len(held[-1][0]) + cold.sum()
-            if n > 250_000:
-                yield settled(held)
-                held, n = [], 0
-        if held:
-            yield settled(held)
+        carry = None
+        for batch in batches:
+            for part in byte_slices(batch, "text", 1 << 18):
+                kind = part.column("kind").to_numpy()
+                ids = part.column("doc")
+                some = np.flatnonzero(kind != TEXT)
+                t = {c: part.column(c).take(pa.array(some)).to_numpy(zero_copy_only=False) for c in columns}
+                t = together([carry, t]) if carry is not None else t
+                at = np.flatnonzero(kind == TEXT)
+                own = ids.take(pa.array(at))
+                raw = [(x or "").encode("utf-8", "surrogatepass") for x in part.column("text").take(pa.array(at)).to_pylist()]
+                known = own.is_valid().to_numpy(zero_copy_only=False)
+                numbers = own.fill_null(0).to_numpy()
+                low, high = np.searchsorted(t["doc"], numbers, "left"), np.searchsorted(t["doc"], numbers, "right")
+                mine = []
+                for r, ok, a, b in zip(raw, known.tolist(), low.tolist(), high.tolist(), strict=True):
+                    mine.append({c: v[a:b] for c, v in t.items()} if ok and b > a else None)
+                if len(raw):
+                    yield from fn(own, raw, mine)
+                last = ids[part.num_rows - 1].as_py()
+                carry = {c: v[np.searchsorted(t["doc"], last, "left") :] if last is not None else v[:0] for c, v in t.items()}
+        released()
+
+    return dealt.mapInArrow(rows, schema)
+
+
+def parts_of(data: np.ndarray, begin: np.ndarray, count: np.ndarray, key: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of runs that begin at these places of ``data``: (run, first string, last string, anchor) of their parts, and whether a run has several."""
+    size = count + length - 1
+    owner = np.repeat(np.arange(len(size)), size)
+    off = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    cat = data[begin[owner] + off]
+    if len(cat) < GRAM:
+        return (np.empty(0, np.int64),) * 5
+    grams = splitmix(gram_hashes(BYTE_VALUES[cat], GRAM))
+    owner, off = owner[: len(grams)], off[: len(grams)]
+    hit = np.flatnonzero((grams == key[owner]) & (off <= (size - GRAM)[owner]))
+    run, p = owner[hit], off[hit]
+    last = np.minimum(p, count[run] - 1)
+    again = np.concatenate(([False], run[1:] == run[:-1])) if len(run) else np.zeros(0, bool)
+    first = np.where(again, np.concatenate(([0], last[:-1])) + 1, 0) if len(run) else p
+    ok = last >= first
+    several = np.bincount(run, minlength=len(size))[run] > 1
+    return run[ok], first[ok], last[ok], p[ok], several[ok]
+
+
+def pieces(key: int, place: int, anchor: int, raw: bytes, length: int):
+    """A part by fours of strings: those that begin 4j to 4j+3 before the anchor have 47 bytes in common."""
+    for j in range((length - GRAM) // PIECE + 1):
+        a, b = max(0, anchor - PIECE * j - PIECE + 1), min(len(raw) - length, anchor - PIECE * j)
+        if a <= b:
+            common = raw[anchor - PIECE * j : anchor - PIECE * j - PIECE + 1 + length]
+            digest = hashlib.blake2b(common, digest_size=8, key=key.to_bytes(8, "little"), salt=bytes((j,))).digest()
+            yield int.from_bytes(digest, "little"), place + a, anchor - a, raw[a : b + length]
+
+
+def run_texts(docs: DataFrame, told: DataFrame, config: SuffixConfig) -> DataFrame:
+    """Parts of the runs that were asked for: (kind null, doc, place, anchor as count, key as more, bytes); and events.
 
-    return docs.mapInArrow(rows, "kind int, key long, whole long, doc long, start long, count int")
+    The anchor is where the key's gram stands in the bytes; a run with several such places falls into
+    one part for each, of the strings whose first place it is. A part that a document repeats follows the first.
+    """
+    length = config.length
+
+    def rows(ids, raw, mine):
+        some = [k for k, t in enumerate(mine) if t is not None]
+        if not some:
+            return
+        t = together([mine[k] for k in some])
+        text = np.repeat(some, [len(mine[k]["kind"]) for k in some])
+        marks = np.array([mark_of(r) for r in raw])
+        own = (t["kind"] >= FETCH) & (t["place"] & ~PLACE == marks[text])
+        t, text = taken(t, np.flatnonzero(own)), text[own]
+        if not len(text):
+            return
+        sizes = np.array([len(r) for r in raw])
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        begin = (np.cumsum(sizes) - sizes)[text] + (t["place"] & PLACE)
+        key = np.ascontiguousarray(t["more"]).view(np.uint64)
+        run, first, last, anchor, several = parts_of(data, begin, t["count"].astype(np.int64), key, length)
+        doc = ids.to_numpy(zero_copy_only=False)[text[run]]
+        crowded = t["kind"][run] == CROWDED
+        plain = np.flatnonzero(~crowded & ~several)
+        low, size = begin[run[plain]] + first[plain], last[plain] - first[plain] + length
+        offsets = np.concatenate(([0], np.cumsum(size)))
+        at = np.repeat(low - offsets[:-1], size) + np.arange(offsets[-1])
+        packed = pa.Array.from_buffers(pa.binary(), len(plain), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data[at].tobytes())])
+        if len(plain):
+            yield record(kind=pa.nulls(len(plain), pa.int32()), doc=doc[plain], place=t["place"][run[plain]] + first[plain], count=(anchor - first)[plain].astype(np.int32), more=key[run[plain]].view(np.int64), bytes=packed)
+        out, follow, seen = [], [], {}
+        for k in np.flatnonzero(crowded | several).tolist():
+            r = int(run[k])
+            stretch = data[begin[r] + first[k] : begin[r] + last[k] + length].tobytes()
+            part = (int(key[r]), int(t["place"][r] + first[k]), int(anchor[k] - first[k]), stretch)
+            for ident, place, pin, b in pieces(*part, length) if crowded[k] else (part,):
+                before = seen.setdefault((int(text[r]), ident, pin, b), place)
+                if before == place:
+                    out.append((int(doc[k]), place, pin, ident, b))
+                else:
+                    follow.append((int(doc[k]), before, len(b) - length + 1, place))
+        if out:
+            own_doc, place, pin, ident, b = zip(*out, strict=True)
+            yield record(kind=pa.nulls(len(out), pa.int32()), doc=np.array(own_doc), place=np.array(place), count=np.array(pin, np.int32), more=np.array(ident, np.uint64).view(np.int64), bytes=pa.array(b, pa.binary()))
+        if follow:
+            told = events(FOLLOW, *(np.array(c) for c in zip(*follow, strict=True)))
+            yield pa.RecordBatch.from_arrays([*told.columns, pa.nulls(len(follow), pa.binary())], names=[*told.schema.names, "bytes"])
+
+    return with_texts(docs, told, rows, f"{EVENT}, bytes binary")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str], least: int = 200_000) -> Iterator[dict]:
@@ -253,83 +472,16 @@ def whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str], least: i
         yield pa.Table.from_batches(held)
 
 
-def compared_runs(cold: DataFrame) -> DataFrame:
-    """Runs (doc, start, count) that equal a smaller document's; and keys (doc null) with several different runs and documents."""
-
-    def rows(batches):
-        for table in whole_groups(batches, ["key", "whole", "doc", "start", "count"]):
-            key, whole, doc, start, count = (table.column(c).to_numpy() for c in ("key", "whole", "doc", "start", "count"))
-            by, _, least = first_of(key, doc, whole)
-            over = by[~least]
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            mixed = (np.minimum.reduceat(whole, first) != np.maximum.reduceat(whole, first)) & (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first))
-            keys = key[first[mixed]]
-            yield record(key=np.concatenate((key[over], keys)), doc=pa.array(np.concatenate((doc[over], keys)), pa.int64(), mask=np.arange(len(over) + len(keys)) >= len(over)), start=np.concatenate((start[over], keys * 0)), count=np.concatenate((count[over], keys * 0)).astype(np.int32))
-
-    return cold.repartition("key").sortWithinPartitions("key").mapInArrow(rows, "key long, doc long, start long, count int")
-
-
-def run_texts(docs: DataFrame, shared: Shared, hot: Shared, config: SuffixConfig) -> DataFrame:
-    """(key, doc, start, anchor, bytes) of the runs of mixed keys; equal runs that a task meets near each other once, for the smallest document.
-
-    The anchor is where the key's gram stands in the bytes; a run with several such places falls into
-    one part for each, of the windows whose first place it is.
-    """
-    span = config.length - GRAM + 1
-
-    def made(out: list) -> pa.RecordBatch:
-        key, own, start, anchor, text = zip(*out, strict=True)
-        return record(key=np.array(key, dtype=np.uint64).view(np.int64), doc=np.array(own, dtype=np.int64), start=np.array(start, dtype=np.int64), anchor=np.array(anchor, dtype=np.int32), bytes=pa.array(text, pa.binary()))
-
-    def rows(batches):
-        best: dict = {}
-        for doc, runs in sliced(batches, config.length):
-            some = np.flatnonzero(in_bitmap(shared.value, runs.key, config.bits) & ~np.isin(runs.key, hot.value))
-            out: list = []
-            for i in some:
-                at, count, key = int(runs.at[i]), int(runs.count[i]), int(runs.key[i])
-                first, places = 0, np.flatnonzero(runs.grams[at : at + count + span - 1] == runs.key[i]).tolist()
-                if len(places) == 1:
-                    # a larger document's equal run is covered as a whole already
-                    name, own = (key, runs.data[at : at + count + config.length - 1].tobytes()), int(doc[i])
-                    held = best.get(name)
-                    if held is None or own < held[0][0]:
-                        best[name] = [(own, int(runs.start[i]), places[0])]
-                    elif own == held[0][0]:
-                        held.append((own, int(runs.start[i]), places[0]))
-                    continue
-                for p in places:
-                    last = min(p, count - 1)
-                    if last >= first:
-                        out.append((key, doc[i], runs.start[i] + first, p - first, runs.data[at + first : at + last + config.length].tobytes()))
-                        first = last + 1
-            if len(best) > 100_000:
-                out += [(name[0], *row, name[1]) for name, own in best.items() for row in own]
-                best = {}
-            if out:
-                yield made(out)
-        if best:
-            yield made([(name[0], *row, name[1]) for name, own in best.items() for row in own])
-
-    return docs.mapInArrow(rows, "key long, doc long, start long, anchor int, bytes binary")
-
-
 class HashedText:
     """Strings of one size, one after the other, with prefix polynomial hashes: any stretch's hash in one step, common extensions by binary search."""
 
     def __init__(self, data: np.ndarray, size: int):
         self.data = data
         self.head = np.ascontiguousarray(data.reshape(-1, size)[:, :8]).view(">u8").ravel().astype(np.uint64)
-        n = len(data)
-        self.up = np.full(n + 1, RADIX, dtype=np.uint64)
-        self.up[0] = 1
-        self.up = np.multiply.accumulate(self.up)
-        # hash of data[i:j] times up[n - i] is the same wherever the stretch stands
-        self.prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[data] * self.up[:n], dtype=np.uint64)))
+        self.prefixes = Prefixes(data)
 
     def same(self, i: np.ndarray, j: np.ndarray, length: np.ndarray) -> np.ndarray:
-        n = len(self.data)
-        return (self.prefix[i + length] - self.prefix[i]) * self.up[n - i] == (self.prefix[j + length] - self.prefix[j]) * self.up[n - j]
+        return self.prefixes.between(i, i + length) == self.prefixes.between(j, j + length)
 
     def extension(self, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
         """Length of the common beginning of the suffixes at i and j, up to ``most``."""
@@ -406,22 +558,26 @@ def segments(slots: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, common
 
 
-def sorted_windows(texts: DataFrame, config: SuffixConfig) -> DataFrame:
-    """Windows (doc, start, count) of the runs that a smaller document has too.
+def sorted_runs(texts: DataFrame, config: SuffixConfig) -> DataFrame:
+    """Events of strings of the parts that a smaller document has too.
 
     Runs of a key are aligned at their anchors. The suffixes from the anchors on, and those that go
-    back from them, are sorted; the windows that begin o bytes before the anchors are equal where
+    back from them, are sorted; the strings that begin o bytes before the anchors are equal where
     o bytes back and the rest ahead are in common, which cuts both orders into segments.
     """
     length = config.length
     back = length - GRAM + 1
 
     def rows(batches):
-        for table in whole_groups(batches, ["key", "doc", "start", "anchor", "bytes"], 20_000):
-            raw = table.column("bytes").to_pylist()
-            key, doc, start, anchor = (table.column(c).to_numpy() for c in ("key", "doc", "start", "anchor"))
-            data, sizes = np.frombuffer(b"".join(raw), dtype=np.uint8), np.array([len(r) for r in raw])
-            begin = np.cumsum(sizes) - sizes
+        for table in whole_groups(batches, ["more", "doc", "place", "count", "bytes"], 20_000):
+            raw = table.column("bytes").combine_chunks()
+            raw = raw.combine_chunks() if isinstance(raw, pa.ChunkedArray) else raw
+            key, doc, start, anchor = (table.column(c).to_numpy() for c in ("more", "doc", "place", "count"))
+            if len(key) < 2:
+                continue
+            anchor = anchor.astype(np.int64)
+            offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+            data, sizes, begin = np.frombuffer(raw.buffers()[2], np.uint8), np.diff(offsets), offsets[:-1]
             pin, end = begin + anchor, begin + sizes
             ahead = pin[:, None] + np.arange(length)
             behind = pin[:, None] - 1 - np.arange(back - 1)
@@ -448,72 +604,75 @@ def sorted_windows(texts: DataFrame, config: SuffixConfig) -> DataFrame:
             _, last = np.nonzero(edge == -1)
             # column c + 1 is the window that begins back - c - 1 bytes before the anchor
             if len(own):
-                yield record(doc=doc[own], start=start[own] + anchor[own] - (back - 1 - first), count=(last - first).astype(np.int32))
-
-    return texts.repartition("key").sortWithinPartitions("key").mapInArrow(rows, "doc long, start long, count int")
-
-
-def covered_windows(docs: DataFrame, config: SuffixConfig) -> DataFrame:
-    """(doc, start, count): windows from start on that a smaller document has too; docs has doc_id and text."""
-    spark = docs.sparkSession
-    keys = written(keys_of(docs, config))
-    hottest = keys.filter(F.col("n") >= config.hot).orderBy(F.desc("n"), "key").limit(config.hottest).toArrow().column("key").to_numpy().view(np.uint64)
-    hot = Shared(spark, np.sort(hottest))
-    runs = written(candidate_runs(docs, Shared(spark, bitmap_of(keys, config.bits)), hot, config))
-    compared = written(compared_runs(runs.filter("kind = 0").select("key", "whole", "doc", "start", "count")))
-    windows = runs.filter("kind = 2").select("key", "doc", "start", "count")
-    least = windows.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi")
-    by_hash = windows.join(least, "key").filter("doc > lo").select("doc", "start", "count")
-    mixed = compared.filter("doc is null").select("key")
-    texts = run_texts(docs, Shared(spark, bitmap_of(mixed, config.bits)), hot, config)
-    out = runs.filter("kind = 1").select("doc", "start", "count").unionByName(compared.filter("doc is not null").select("doc", "start", "count"))
-    return out.unionByName(by_hash).unionByName(sorted_windows(texts, config))
-
-
-def apply_cover(rows: DataFrame, text: str, spans: str | None, schema: str, length: int, make) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for part in byte_slices(batch, text, 1 << 22):
-                cover = part.column(spans).to_pylist() if spans else [None] * part.num_rows
-                out = []
-                for t, s in zip(part.column(text).to_pylist(), cover, strict=True):
-                    data = np.frombuffer((t or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                    edge = np.zeros(len(data) + 1, dtype=np.int64)
-                    for x in s or ():
-                        a = np.frombuffer(x, dtype=np.int64).reshape(-1, 2)
-                        np.add.at(edge, a[:, 0], 1)
-                        np.add.at(edge, a[:, 0] + a[:, 1] - 1 + length, -1)
-                    out.append((data, np.cumsum(edge)[:-1] > 0))
-                yield make(part, out)
-
-    return rows.mapInArrow(run, schema)
-
-
-def packed(windows: DataFrame) -> DataFrame:
-    """(doc, spans): the spans of a document, joined to few pieces of bytes before they meet."""
-
-    def rows(batches):
-        for batch in batches:
-            doc = batch.column("doc").to_numpy()
-            by = np.argsort(doc, kind="stable")
-            pairs = np.stack((batch.column("start").to_numpy()[by], batch.column("count").to_numpy()[by].astype(np.int64)), 1)
-            first = np.flatnonzero(np.concatenate(([True], doc[by][1:] != doc[by][:-1])))
-            yield record(doc=doc[by][first], span=pa.array([p.tobytes() for p in np.split(pairs, first[1:])], pa.binary()))
-
-    dealt = windows.repartition("doc").sortWithinPartitions("doc", "start")
-    return dealt.mapInArrow(rows, "doc long, span binary").groupBy("doc").agg(F.collect_list("span").alias("spans"))
+                yield events(COVER, doc[own], start[own] + anchor[own] - (back - 1 - first), last - first)
+        released()
+
+    return texts.repartition("more").sortWithinPartitions("more").mapInArrow(rows, EVENT)
+
+
+def buckets_of(docs: DataFrame, config: SuffixConfig) -> int:
+    """Bits of the bucket numbers, by the bytes of all texts."""
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return min(28, max(4, int(np.ceil(np.log2(total / config.bucket_bytes + 1)))))
+
+
+def covered(docs: DataFrame, config: SuffixConfig) -> DataFrame:
+    """Events COVER and FOLLOW of docs (doc_id, text)."""
+    met = written(met_runs(dealt_runs(docs, buckets_of(docs, config), config), config))
+    known = docs.filter("doc_id is not null")
+    fetched = written(run_texts(known, met.filter(f"kind >= {FETCH}"), config))
+    found = written(sorted_runs(fetched.filter("kind is null").select("more", "doc", "place", "count", "bytes"), config))
+    return met.filter(f"kind < {FETCH}").unionByName(fetched.filter("kind is not null").drop("bytes")).unionByName(found)
+
+
+def removed(raw: bytes, t: dict | None, length: int) -> np.ndarray:
+    """Which bytes of a text go, by the events of its id."""
+    gone = np.zeros(len(raw) + 1, dtype=np.int64)
+    if t is None or len(raw) < length:
+        return gone[:-1] > 0
+    mark, strings = mark_of(raw), {}
+    cover, follow = t["kind"] == COVER, np.flatnonzero(t["kind"] == FOLLOW)
+
+    def of(other: int) -> np.ndarray:
+        """Covered strings of the row of this id with this mark."""
+        if other not in strings:
+            own = cover & (t["place"] & ~PLACE == other)
+            place = t["place"][own] & PLACE
+            end = place + t["count"][own]
+            most = max(((t[c][follow] & PLACE) + t["count"][follow]).max(initial=0) for c in ("place", "more"))
+            edge = np.zeros(max(len(raw), int(end.max(initial=0)), int(most)) + 2, dtype=np.int64)
+            np.add.at(edge, place, 1)
+            np.add.at(edge, end, -1)
+            strings[other] = np.cumsum(edge) > 0
+        return strings[other]
+
+    own = of(mark)
+    # what is followed may follow in turn
+    todo, changed = list(zip(*(t[c][follow].tolist() for c in ("place", "count", "more")), strict=True)), bool(len(follow))
+    while changed:
+        changed = False
+        for source, n, to in todo:
+            stretch = of(source & ~PLACE)[source & PLACE : (source & PLACE) + n]
+            target = of(to & ~PLACE)[to & PLACE : (to & PLACE) + n]
+            if (stretch & ~target).any():
+                target |= stretch
+                changed = True
+    at = np.flatnonzero(own[: len(raw) - length + 1])
+    np.add.at(gone, at, 1)
+    np.add.at(gone, at + length, -1)
+    return np.cumsum(gone)[:-1] > 0
 
 
 def dedup(docs: DataFrame, config: SuffixConfig = SuffixConfig(), doc_id="doc_id", text="text", digest: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, and kept_sha256 or the kept text (bytes, as UTF-8 may be cut)."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    spans = packed(written(covered_windows(docs, config)))
     what = "kept_sha256 string" if digest else "kept binary"
+    length = config.length
 
-    def make(part, out):
-        kept = [d[~m].tobytes() for d, m in out]
+    def rows(ids, raw, mine):
+        gone = [removed(r, t, length) for r, t in zip(raw, mine, strict=True)]
+        kept = [np.frombuffer(r, np.uint8)[~g].tobytes() if g.any() else r for r, g in zip(raw, gone, strict=True)]
         last = {"kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]} if digest else {"kept": pa.array(kept, pa.binary())}
-        return record(doc_id=part.column("doc_id"), n_bytes=[len(d) for d, _ in out], n_removed=[int(m.sum()) for _, m in out], n_spans=[int((np.diff(m.astype(np.int8), prepend=0) == 1).sum()) for _, m in out], **last)
+        yield record(doc_id=ids, n_bytes=[len(r) for r in raw], n_removed=[int(g.sum()) for g in gone], n_spans=[int((np.diff(g.astype(np.int8), prepend=0) == 1).sum()) for g in gone], **last)
 
-    joined = docs.join(spans.withColumnRenamed("doc", "doc_id").hint("shuffle_hash"), "doc_id", "left")
-    return apply_cover(joined, "text", "spans", f"doc_id long, n_bytes long, n_removed long, n_spans long, {what}", config.length, make)
+    return with_texts(docs, covered(docs, config), rows, f"doc_id long, n_bytes long, n_removed long, n_spans long, {what}")
