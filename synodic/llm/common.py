@@ -29,18 +29,20 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def written(frame: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared folder: cuts lineage, survives lost executors.
 
-    The write runs in a copy of the session, in which shuffle files go once the table stands; the
-    session itself keeps its settings.
+    The write runs in a copy of the session, in which shuffle files go once the table stands and
+    Arrow batches are bounded by bytes; the session itself keeps its settings.
     """
     spark = frame.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     own = spark._jsparkSession.cloneSession()
     own.conf().set(CLEANUP, "true")
+    own.conf().set(BATCH_BYTES, str(8 << 20))
     jvm = spark.sparkContext._jvm
     jvm.org.apache.spark.sql.classic.Dataset.ofRows(own, frame._jdf.logicalPlan()).write().parquet(path)
     out = spark.read.schema(frame.schema).parquet(path)

@@ -255,13 +255,14 @@ def dealt_runs(docs: DataFrame, bits: int, config: SuffixConfig) -> DataFrame:
             crowded = np.repeat(size >= config.crowd, size)
             t["flag"] = crowded.astype(np.int8)
             parts.append(t)
-            route.append(np.where(crowded, splitmix(t["whole"] ^ t["key"]), t["key"]))
+            route.append(np.where(crowded, t["whole"], t["key"]))
             if crowded.any():
                 mark = taken(t, begin[size >= config.crowd])
                 mark["flag"] = np.full(len(mark["key"]), 2, np.int8)
                 parts.append(mark)
                 route.append(mark["key"])
-        t, bucket = together(parts), (np.concatenate(route) >> np.uint64(64 - bits)).astype(np.int32)
+        # keys are smallest hashes and so not even
+        t, bucket = together(parts), (splitmix(np.concatenate(route)) >> np.uint64(64 - bits)).astype(np.int32)
         by = np.argsort(bucket, kind="stable")
         t, bucket = taken(t, by), bucket[by]
         cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
