@@ -21,3 +21,18 @@ def enum_to_int(value: Column, names: list[str]) -> Column:
 
 def int_to_enum(value: Column, names: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), value + 1)
+
+
+def struct_of(**columns: Column) -> Column:
+    """A struct of the columns, named: how named tuples are stored."""
+    return F.struct(*[c.alias(k) for k, c in columns.items()])
+
+
+def named_tuples(name: str, rows: list, field: str) -> list:
+    """The struct column of collected rows as named tuples."""
+    from collections import namedtuple
+
+    if not rows:
+        return []
+    kind = namedtuple(name, rows[0][field].__fields__)
+    return [kind(*r[field]) for r in rows]

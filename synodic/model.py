@@ -21,11 +21,13 @@ class ModelError(ValueError):
 
 @dataclass
 class Config:
-    """asserts: check steps; detect_stateless: hint edge types without fields; warnings: say what was assumed."""
+    """asserts: check steps; detect_stateless: hint edge types without fields; warnings: say what was assumed; folder and codec: where stores with a relative path lie, and how they are compressed."""
 
     asserts: bool = True
     detect_stateless: bool = False
     warnings: bool = True
+    folder: str = ""
+    codec: str = "snappy"
 
 
 config = Config()
@@ -93,7 +95,7 @@ class EdgeType:
             raise ModelError(f"{accessor} is not defined for edge type {self.name} with hints {sorted(self.hints)}")
 
 
-@dataclass
+@dataclass(repr=False)
 class Model:
     """A registry; every method gives the model back, so that calls chain."""
 
@@ -155,5 +157,10 @@ class Model:
         self.globals[name] = initial
         return self
 
+    def __repr__(self) -> str:
+        own = [f"  agent {t.name}({t.fields.simpleString()[7:-1]}) {' '.join(sorted(t.hints))}".rstrip() for t in self.agents.values()]
+        own += [f"  edge {t.name}({t.fields.simpleString()[7:-1]}) {' '.join(sorted(t.hints))}".rstrip() for t in self.edges.values()]
+        return "\n".join([f"Model {self.name}", *own, f"  params {sorted(self.params)}, globals {sorted(self.globals)}"])
+
     def has_hint(self, kind: str, hint: str) -> bool:
         return hint in (self.agents.get(kind) or self.edges[kind]).hints

@@ -11,7 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import ModelError
+from ..model import ModelError, config
+from .ranges import range_totals
 
 
 class Fields:
@@ -40,6 +41,8 @@ class Context:
         self.id = F.col("id")
         self.state = Fields("", self.kind.fields.names if shown else [], "" if shown else f"{kind} is not in read")
         self.requests: dict[tuple, Requests] = {}
+        self.ranges: list[tuple] = []
+        self.lookups: list[tuple[str, Column, list[str]]] = []
         self.param, self.glob = sim.param, sim.get_global
 
     def ask(self, edge: str, accessor: str, value: Column, source: str | None = None, own: bool = False) -> Column:
@@ -95,9 +98,32 @@ class Context:
         """apply(found) where there is something, else null."""
         return F.when(found.isNotNull(), apply(found))
 
-    def agentstate(self, ident: Column, kind: str, *names: str) -> tuple[Column, ...]:
-        """Fields of another agent by id; the step fails if there is none."""
-        raise ModelError("agentstate is a join: use Simulation.agentstate(frame, id column, type)")
+    def agentstate(self, ident: Column, kind: str) -> Column:
+        """The state of another agent by id, as a struct; null for a null id. The step fails if there is no such living agent.
+
+        ``ident`` may use what edges or earlier lookups gave.
+        """
+        return self.agentstate_flexible(ident, kind)
+
+    def agentstate_flexible(self, ident: Column, *kinds: str) -> Column:
+        """As agentstate() where the type follows from the id: one of ``kinds`` (all agent types in read), with the fields of all."""
+        kinds = kinds or tuple(k for k in self.sim.model.agents if k in self.read)
+        for kind in kinds:
+            if kind not in self.read:
+                raise ModelError(f"agent type {kind} is not in read")
+        name = f"_s{len(self.lookups)}"
+        self.lookups.append((name, ident, list(kinds)))
+        found = F.col(name)
+        return F.when(found.isNull() & ident.isNotNull(), F.raise_error(F.lit(f"agentstate: no living agent of {', '.join(kinds)} with this id"))).otherwise(found) if config.asserts else found
+
+    def near(self, group: Column, order: Column, reach, value: Column) -> tuple[Column, Column]:
+        """Of the agents of the called type in the same group whose ``order`` differs by less than ``reach``, itself included: their number, and the sum of ``value``.
+
+        This is the step over a complete graph of each group, without its edges.
+        """
+        name = f"_n{len(self.ranges)}"
+        self.ranges.append((name, group, order, reach, value))
+        return F.col(f"{name}_n"), F.col(f"{name}_s")
 
     def answered(self, called: DataFrame) -> DataFrame:
         for (edge, source, own), requests in self.requests.items():
@@ -109,6 +135,12 @@ class Context:
                 frame = frame.join(mine.select(F.col("id").alias("_own"), F.struct(*mine.columns).alias("own")), F.col("to") == F.col("_own")).drop("_own")
             found = frame.groupBy("to").agg(*[v.alias(k) for k, v in requests.columns.items()])
             called = called.join(found.withColumnRenamed("to", "_to"), F.col("id") == F.col("_to"), "left").drop("_to")
+        for name, ident, kinds in self.lookups:
+            found = sources(self.sim, kinds).select(F.col("id").alias("_id"), F.col("source").alias(name))
+            called = called.join(found, ident == F.col("_id"), "left").drop("_id")
+        for name, group, order, reach, value in self.ranges:
+            found = range_totals(self.sim.agents(self.kind.name), group, order, reach, value).select(F.col("id").alias("_id"), F.col("n").alias(f"{name}_n"), F.col("s").alias(f"{name}_s"))
+            called = called.join(found, F.col("id") == F.col("_id"), "left").drop("_id")
         return called
 
 

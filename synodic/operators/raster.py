@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import make_id
 from ..model import ModelError
-from ..plans.materialise import materialised
 from .transition import NewEdge
 
 
@@ -56,7 +55,7 @@ class RasterMethods:
         self.used[kind] = start - 1 + cells
         rows = frame.select("id", *[fields[f.name].cast(f.dataType).alias(f.name) for f in t.fields.fields])
         self.agent_tables[kind] = self.agent_tables[kind].unionByName(rows) if kind in self.agent_tables else rows
-        grid = materialised(frame.select(*[f"i{k}" for k in range(len(dims))], "id"))
+        grid = self.settle(frame.select(*[f"i{k}" for k in range(len(dims))], "id"))
         self.rasters[name] = (tuple(dims), kind, grid)
         return grid
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import numbered
 from ..model import EdgeType, ModelError, config
-from ..plans.materialise import materialised
 from .neighbours import Context
 
 
@@ -39,13 +38,29 @@ class NewAgent:
 
 @dataclass
 class DropEdges:
-    """All edges to ``to``, or all parallel edges from ``source`` to it."""
+    """All edges to ``to``, or all parallel edges from ``source`` to it; with ``matching`` (a column over the edge's fields)
+    all parallel edges of each edge to ``to`` that matches."""
 
     type: str
     to: Column
     source: Column | None = None
     when: Column | None = None
     each: Column | None = None
+    matching: Column | None = None
+
+
+@dataclass
+class HubEdges:
+    """Around each called agent (the hub) where ``when`` holds: an edge from each source of its ``left`` edges to each source of its ``right`` ones.
+
+    ``fields`` are columns over left.x and right.x, the fields of the two edges.
+    """
+
+    type: str
+    left: str
+    right: str
+    fields: dict[str, Column] = field(default_factory=dict)
+    when: Column | None = None
 
 
 @dataclass
@@ -57,6 +72,7 @@ class Step:
     agents: list[NewAgent] = field(default_factory=list)
     edges: list[NewEdge] = field(default_factory=list)
     drops: list[DropEdges] = field(default_factory=list)
+    hubs: list[HubEdges] = field(default_factory=list)
 
 
 def as_set(names) -> set[str]:
@@ -81,6 +97,21 @@ def emitted(frame: DataFrame, kind: EdgeType, e: NewEdge) -> DataFrame:
     return frame.select(*columns)
 
 
+def met_at_hubs(sim, frame: DataFrame, kind: EdgeType, h: HubEdges, read: set[str]) -> DataFrame:
+    """The edges of ``h``; a join on the hub, which Spark splits where one hub has very many."""
+    sides = []
+    for side, name in (("left", h.left), ("right", h.right)):
+        if name not in read:
+            raise ModelError(f"edge type {name} is not in read")
+        own = sim.model.edges[name]
+        own.allow("neighborids")
+        fields = [] if own.has("Stateless") else own.fields.names
+        sides.append(sim.edges(name).select(F.col("to").alias("_hub"), F.col("from").alias(f"_{side}"), *([F.struct(*fields).alias(side)] if fields else [])))
+    hubs = (frame if h.when is None else frame.filter(h.when)).select(F.col("id").alias("_hub"))
+    pairs = sides[0].join(hubs, "_hub", "left_semi").join(sides[1], "_hub")
+    return emitted(pairs, kind, NewEdge(h.type, to=F.col("_right"), source=F.col("_left"), fields=h.fields))
+
+
 def settled(frame: DataFrame, kind: EdgeType) -> DataFrame:
     """The table of an edge type as its hints store it."""
     if kind.counts_only:
@@ -128,7 +159,8 @@ def transition(sim, rule: Callable[[Context], Step | None], call, read=(), write
     order = [call] if isinstance(call, str) else list(call)
     call, read, write, keep = as_set(call), as_set(read), as_set(write), as_set(add_existing)
     checked_arguments(sim, call, read, write, keep, with_edge)
-    after = sim.copy()
+    sim.solid(*call, *read, *keep, *([with_edge] if with_edge else []))
+    after = sim.successor()
     births: dict[str, list[DataFrame]] = {}
     grown: dict[str, list[DataFrame]] = {}
     drops: dict[str, list[DataFrame]] = {}
@@ -155,12 +187,15 @@ def transition(sim, rule: Callable[[Context], Step | None], call, read=(), write
             alive = F.lit(True) if step.alive is None else F.coalesce(step.alive, F.lit(True))
             result = frame.select("id", *[fields.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in kind.fields.fields], alive.alias("_alive"))
             if step.alive is not None:
-                result = materialised(result)
+                result = after.settle(result)
                 dead.append(result.filter("not _alive").select("id"))
             alive_rows = result.filter("_alive").drop("_alive") if step.alive is not None else result.drop("_alive")
             states[name] = alive_rows if rest is None else alive_rows.unionByName(rest)
         if step.agents or len(step.edges) + len(step.drops) > 1:
-            frame = materialised(frame) if context.requests else frame
+            frame = after.settle(frame) if context.requests else frame
+        for h in step.hubs:
+            require(h.type, write)
+            grown.setdefault(h.type, []).append(met_at_hubs(sim, frame, sim.model.edges[h.type], h, read))
         for e in step.edges:
             require(e.type, write)
             grown.setdefault(e.type, []).append(emitted(frame, sim.model.edges[e.type], e))
@@ -171,6 +206,12 @@ def transition(sim, rule: Callable[[Context], Step | None], call, read=(), write
                 raise ModelError(f"{d.type} does not know its sources")
             rows = frame if d.when is None else frame.filter(d.when)
             rows = rows if d.each is None else rows.select("*", F.explode(d.each).alias("each"))
+            if d.matching is not None:
+                if d.type not in read:
+                    raise ModelError(f"edge type {d.type} is not in read")
+                mine = sim.edges(d.type).filter(d.matching).select(F.col("to").alias("_to"), F.col("from").alias("_from"))
+                drops.setdefault(d.type, []).append(mine.join(rows.select(d.to.cast("long").alias("_to")), "_to", "left_semi"))
+                continue
             source = F.lit(None).cast("long") if d.source is None else d.source.cast("long")
             drops.setdefault(d.type, []).append(rows.select(d.to.cast("long").alias("_to"), source.alias("_from")))
         for b in step.agents:
@@ -216,14 +257,18 @@ def commit(sim, after, write, keep, states, births, grown, drops, dead) -> None:
     for name in write & set(sim.model.agents):
         parts = [states[name]] if name in states else [sim.agents(name)] if name in keep else []
         parts += births.get(name, [])
-        after.agent_tables[name] = materialised(union(parts)) if parts else sim.empty_agents(name)
-    gone = materialised(union(dead)) if dead else None
+        after.agent_tables[name] = union(parts) if parts else sim.empty_agents(name)
+        loosened(after, name, bool(parts))
+    gone = union(dead) if dead else None
     if gone is not None and gone.isEmpty():
         gone = None
     for name, kind in sim.model.edges.items():
         if name not in write and gone is None:
             continue
         table = sim.edges(name)
+        if gone is not None and name not in write:
+            sim.solid(name)
+            table = sim.edges(name)
         if name in write:
             old = [table] if name in keep else []
             if old and name in drops:
@@ -239,11 +284,21 @@ def commit(sim, after, write, keep, states, births, grown, drops, dead) -> None:
             table = table.join(lost, F.col("to") == F.col("_gone"), "left_anti")
             if not kind.has("IgnoreFrom"):
                 table = table.join(lost, F.col("from") == F.col("_gone"), "left_anti")
-        table = settled(table, kind) if name in write else table
-        table = materialised(table)
-        if name in write:
-            check_edges(table, kind, sim)
-        after.edge_tables[name] = table
+        after.edge_tables[name] = settled(table, kind) if name in write else table
+        loosened(after, name, True)
+        if name in write and (kind.has("SingleType") or kind.has("SingleEdge") and not kind.counts_only):
+            after.solid(name)
+            check_edges(after.edge_tables[name], kind, sim)
     after.num_transitions += 1
     for name in write:
         after.last_change[name] = after.num_transitions
+
+
+def loosened(after, name: str, made: bool) -> None:
+    """What a step makes is a plan until something reads it, if the plan gives the same rows each time."""
+    after.loose.discard(name)
+    if made:
+        after.loose.add(name)
+        tables = after.agent_tables if name in after.model.agents else after.edge_tables
+        if not tables[name]._jdf.queryExecution().analyzed().deterministic():
+            after.solid(name)

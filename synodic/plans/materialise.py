@@ -9,15 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of this process only where the setting is absent."""
+    """spark.checkpoint.dir; where it is unset, a folder of this machine in local mode, and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="synodic-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
 def materialised(frame: DataFrame) -> DataFrame:
+    """The frame as a Parquet table; ``written_at`` of the result is its path."""
     path = f"{shared_folder(frame.sparkSession)}/{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    out = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import copy
 import logging
 import time
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -16,7 +17,7 @@ from .functions.reductions import OPS, aggregate, identity, whole_product
 from .model import Model, ModelError
 from .operators.raster import RasterMethods
 from .operators.transition import Step, check_edges, settled, transition
-from .plans.materialise import materialised
+from .plans.materialise import materialised, removed
 from .sources.graphs import GraphMethods
 from .sources.snapshots import SnapshotMethods
 
@@ -24,7 +25,12 @@ log = logging.getLogger("synodic")
 
 
 class Simulation(RasterMethods, GraphMethods, SnapshotMethods):
-    def __init__(self, spark: SparkSession, model: Model, params: dict | None = None, globals: dict | None = None, name: str | None = None, filename: str | None = None, overwrite_file: bool = True):
+    """With ``lazy`` the tables given before finish_init() stay plans over their sources (which must read the same each time)
+    and only the columns that a step needs are read. What a step makes is written when something reads it, once."""
+
+    def __init__(self, spark: SparkSession, model: Model, params: dict | None = None, globals: dict | None = None, name: str | None = None, filename: str | None = None, overwrite_file: bool = True, lazy: bool = False):
+        self.lazy, self.made, self.family, self.loose = lazy, [], weakref.WeakSet(), set()
+        self.family.add(self)
         self.spark, self.model, self.name = spark, model, name or model.name
         self.params = {**model.params, **(params or {})}
         self.globals = {**copy.deepcopy(model.globals), **(globals or {})}
@@ -36,13 +42,27 @@ class Simulation(RasterMethods, GraphMethods, SnapshotMethods):
         self.last_change: dict[str, int] = {}
         self.rasters: dict[str, tuple[tuple[int, ...], str, DataFrame]] = {}
         self.external: dict = {}
-        self.store = None
+        self.store, self.versions = None, {}
         self.filename, self.overwrite_file = filename or self.name, overwrite_file
         self.metadata: dict = {}
 
     def __repr__(self) -> str:
         return f"Simulation({self.name}: agents {list(self.model.agents)}, edges {list(self.model.edges)}, {'step ' + str(self.num_transitions) if self.initialized else 'not initialized'})"
 
+    def settle(self, frame: DataFrame) -> DataFrame:
+        """The frame written, to be removed by finish()."""
+        out = materialised(frame)
+        self.made.append(out.written_at)
+        return out
+
+    def solid(self, *kinds: str) -> None:
+        """Write what the last step made of these types, unless it is written."""
+        for kind in kinds:
+            if kind in self.loose:
+                tables = self.agent_tables if kind in self.model.agents else self.edge_tables
+                tables[kind] = self.settle(tables[kind])
+                self.loose.discard(kind)
+
     # params and globals
     def param(self, name: str):
         return self.params[name]
@@ -93,7 +113,7 @@ class Simulation(RasterMethods, GraphMethods, SnapshotMethods):
             frame, nr = numbered(frame, "_nr", self.next_number(kind)), "_nr"
             self.used[kind] = self.used.get(kind, 0) + frame.count()
         else:
-            frame = materialised(frame)
+            frame = frame if self.lazy else self.settle(frame)
             self.used[kind] = max(self.used.get(kind, 0), frame.agg(F.max(nr)).first()[0] or 0)
         out = frame.withColumn("id", make_id(t.number, F.col(nr))).drop("_nr")
         rows = out.select("id", *[F.col(f.name).cast(f.dataType) for f in t.fields.fields])
@@ -143,19 +163,34 @@ class Simulation(RasterMethods, GraphMethods, SnapshotMethods):
             tables[kind] = tables[kind].unionByName(frame) if kind in tables else frame
         self.pending = {}
 
-    def finish_init(self, checked: bool = True):
-        """Seal the tables. Ids stay as they are and Spark places the rows, so there is no partition to give."""
+    def finish_init(self, checked: bool = True, return_idmapping: bool = False, partition: DataFrame | None = None):
+        """Seal the tables. Ids stay as they are, so the mapping (old, new) is the identity.
+
+        ``partition`` (id, part) deals the agents to Spark partitions as they are written; rows without a part go by id.
+        """
         if self.initialized:
             raise ModelError("finish_init() was called already")
         self.flush()
         for kind in self.model.agents:
-            self.agent_tables[kind] = materialised(self.agent_tables[kind]) if kind in self.agent_tables else self.empty_agents(kind)
+            if kind not in self.agent_tables:
+                self.agent_tables[kind] = self.empty_agents(kind)
+            elif partition is not None:
+                own = self.agent_tables[kind]
+                placed = own.join(partition.select("id", "part"), "id", "left").repartition(F.coalesce(F.col("part").cast("long"), F.col("id")))
+                self.agent_tables[kind] = self.settle(placed.select(*own.columns))
         for name, t in self.model.edges.items():
-            self.edge_tables[name] = materialised(settled(self.edge_tables[name], t)) if name in self.edge_tables else self.empty_edges(name)
+            own = settled(self.edge_tables[name], t) if name in self.edge_tables else self.empty_edges(name)
+            self.edge_tables[name] = own if self.lazy or name not in self.edge_tables else self.settle(own)
             if checked:
                 check_edges(self.edge_tables[name], t, self)
         self.initialized = True
-        return self
+        if not return_idmapping:
+            return self
+        ids = [self.agents(kind).select(F.col("id").alias("old"), F.col("id").alias("new")) for kind in self.model.agents]
+        out = ids[0]
+        for more in ids[1:]:
+            out = out.unionByName(more)
+        return out
 
     def agent_schema(self, kind: str) -> T.StructType:
         return T.StructType([T.StructField("id", T.LongType()), *self.model.agents[kind].fields.fields])
@@ -191,10 +226,22 @@ class Simulation(RasterMethods, GraphMethods, SnapshotMethods):
         self.model.edges[name].allow("edges")
         return self.edges(name).select("to", F.struct("from", F.struct(*self.model.edges[name].fields.names).alias("state")).alias("edge"))
 
+    def edges_iterator(self, name: str) -> DataFrame:
+        """(to, edge) as all_edges() gives it, or (to, from) of a Stateless type; not defined for types that keep no sources."""
+        kind = self.model.edges[name]
+        if kind.has("IgnoreFrom"):
+            raise ModelError(f"edge type {name} does not know its sources")
+        return self.edges(name).select("to", "from") if kind.has("Stateless") else self.all_edges(name)
+
     def num_agents(self, kind: str) -> int:
+        self.solid(kind)
         return self.agents(kind).count()
 
-    def num_edges(self, name: str) -> int:
+    def num_edges(self, name: str, write: bool = False) -> int:
+        """Before finish_init() the edges are pending: they count with ``write`` only."""
+        if not self.initialized and not write:
+            return 0
+        self.solid(name)
         frame = self.edges(name)
         return int(frame.agg(F.sum("n")).first()[0] or 0) if "n" in frame.columns else frame.count()
 
@@ -225,42 +272,79 @@ class Simulation(RasterMethods, GraphMethods, SnapshotMethods):
         frame = self.table(kind)
         frame.select(*[hex_id(F.col(c)).alias(c) if c in ("id", "from", "to") else c for c in frame.columns]).show(n, False)
 
-    def describe_agent(self, kind: str, ident: int | None = None, most: int = 5) -> int | None:
-        """Print an agent (any one without an id) and up to ``most`` incoming edges of each type; gives its id."""
-        frame = self.agents(kind) if ident is None else self.agents(kind).filter(F.col("id") == ident)
+    def describe_agent(self, kind: str, ident: int | None = None, most: int = 5, neighborstates: tuple[str, ...] = (), seed: int = 0) -> int | None:
+        """Print an agent (a random one without an id) and up to ``most`` incoming edges of each type; gives its id.
+
+        ``neighborstates`` names the edge types whose source agents are shown too.
+        """
+        frame = self.agents(kind).orderBy(F.xxhash64("id", F.lit(seed)), "id") if ident is None else self.agents(kind).filter(F.col("id") == ident)
         row = frame.first()
         if row is None:
             return None
         print(kind, row)
+        names = {t.number: t.name for t in self.model.agents.values()}
         for name in self.model.edges:
             for edge in self.edges(name).filter(F.col("to") == row["id"]).limit(most).collect():
                 print(" ", name, edge)
+                if name in neighborstates and "from" in edge:
+                    source = names[(edge["from"] & ((1 << 64) - 1)) >> 56]
+                    print("   ", source, self.agents(source).filter(F.col("id") == edge["from"]).first())
         return row["id"]
 
     # steps
     def apply(self, rule, call, read=(), write=(), add_existing=(), with_edge=None) -> Simulation:
         """The simulation after one step; this one stays."""
-        began = time.time()
-        out = transition(self, rule, call, read, write, add_existing, with_edge)
-        log.info("transition %s of %s: %.0f ms", out.num_transitions, self.name, 1000 * (time.time() - began))
+        began, context = time.time(), self.spark.sparkContext
+        log.info("<Begin> transition %s of %s: call %s", self.num_transitions + 1, self.name, call)
+        before = context.getLocalProperty("spark.job.description")
+        context.setJobDescription(f"{self.name}: transition {self.num_transitions + 1}")
+        try:
+            out = transition(self, rule, call, read, write, add_existing, with_edge)
+        finally:
+            context.setLocalProperty("spark.job.description", before)
+        log.info("<End> transition %s of %s, Duration (ms): %.0f", out.num_transitions, self.name, 1000 * (time.time() - began))
         return out
 
     def apply_(self, *args, **named) -> Simulation:
         """apply() in place."""
-        self.__dict__.update(self.apply(*args, **named).__dict__)
+        after = self.apply(*args, **named)
+        family = self.family
+        self.__dict__.update(after.__dict__)
+        family.discard(after)
         return self
 
+    def log_overview(self) -> None:
+        """A log line for each type with its hints and number of rows."""
+        for name, t in self.model.agents.items():
+            log.info("agent type %s %s: %s", name, sorted(t.hints), self.num_agents(name))
+        for name, t in self.model.edges.items():
+            log.info("edge type %s %s: %s", name, sorted(t.hints), self.num_edges(name, write=True))
+
     def copy(self) -> Simulation:
         """Independent: tables never change, dicts are copied; the store stays with the original."""
+        out = self.successor()
+        out.store, out.versions, out.metadata = None, {}, dict(self.metadata)
+        return out
+
+    def successor(self) -> Simulation:
+        """A copy that goes on with the store."""
         out = copy.copy(self)
         for k in ("agent_tables", "edge_tables", "used", "last_change", "rasters", "params", "external"):
             setattr(out, k, dict(getattr(self, k)))
-        out.globals, out.pending = copy.deepcopy(self.globals), {k: list(v) for k, v in self.pending.items()}
+        out.globals, out.pending, out.loose = copy.deepcopy(self.globals), {k: list(v) for k, v in self.pending.items()}, set(self.loose)
+        self.family.add(out)
         return out
 
     def finish(self) -> dict:
-        """Let the tables go; params and globals stay."""
-        self.agent_tables, self.edge_tables, self.external, self.store = {}, {}, {}, None
+        """Let the tables go; params and globals stay.
+
+        What was written for this simulation and its earlier steps is removed, unless a copy or another step of it lives on.
+        """
+        self.agent_tables, self.edge_tables, self.external, self.rasters, self.store = {}, {}, {}, {}, None
+        self.family.discard(self)
+        if not len(self.family):
+            while self.made:
+                removed(self.spark, self.made.pop())
         return self.globals
 
     # reductions
@@ -268,6 +352,7 @@ class Simulation(RasterMethods, GraphMethods, SnapshotMethods):
         """Reduce a column over agents or edges. op: + * max min & |, or a function of the column giving an aggregate (then init is needed)."""
         if kind in self.model.edges:
             self.model.edges[kind].allow("mapreduce")
+        self.solid(kind)
         frame = (self.agents(kind) if kind in self.model.agents else self.edges(kind)).select(value.alias("v"))
         data = frame.schema["v"].dataType if datatype is None else T._parse_datatype_string(datatype) if isinstance(datatype, str) else datatype
         v = F.col("v") if datatype is None else F.col("v").cast(data)

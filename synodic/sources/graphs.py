@@ -36,6 +36,7 @@ class Graph:
         self.vertex_table, self.edge_table = vertex_table, edge_table
 
     is_directed = True
+    eltype, edgetype = "long", "struct<s:bigint,t:bigint>"
 
     def vertices(self) -> DataFrame:
         return self.vertex_table.select("v")
