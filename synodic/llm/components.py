@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         lows = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lows, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         small = small.select(F.greatest("e.b", "e.m").alias("a"), F.least("e.b", "e.m").alias("b")).filter("a != b").distinct()
-        now = written(small)
+        before, now = now, written(small)
+        dropped(edges.sparkSession, before)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == tuple(seen):
             break

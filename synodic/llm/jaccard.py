@@ -2,32 +2,40 @@
 
 Two documents link when the Jaccard similarity of their sets of five-word shingles is 0.8 or more
 (judged in whole numbers: 100 * intersection >= 80 * union). A set of n shingles can only link with
-one that shares T = ceil(0.8 n) of them. As in DivideSkip, the inverted lists of a set are divided:
-the n - T + 1 rarest are short lists, which are merged to find candidates, and the T - 1 commonest
-are long lists, which are not merged but probed by binary search for the candidates. Any
-order of the shingles gives the same links; the order here is by document counts over all documents,
-gathered task by task, then by hash.
-
-Sets that are equal are one class and are linked without a search. In lists of more than ``small``
-members, members are first compared with one centre; what the links found so far do not join is then
-compared with all other members, so that a crowd of near copies costs few comparisons and no link
-between classes is lost.
-
-Null and empty texts have an empty set and link with nothing. Rows with a null id link with nothing;
-repeated ids are one document with the texts of each row. Other columns are ignored. Shingles are
-64-bit hashes of 64-bit word hashes.
+one that shares T = ceil(0.8 n) of them, so that one of the n - T + 1 rarest is shared too.
+
+The index of inverted lists lies in shards of documents. The rarest shingles route a set (the probe) to
+the shards that hold a document which could link: first by lists of the rarest shingles, then by
+histograms of hashes that bound the intersection. Each shard answers its probes as DivideSkip does: the
+lists of the probe's shingles are divided, the short ones are merged by a heap that counts occurrences
+and skips documents that cannot reach the count, the long ones are probed by binary search for what the
+merge retains, and documents that reach the overlap both sizes ask for are linked. A shard tells only
+links between documents that it has not joined yet, so that a crowd costs as many rows as members.
+
+The order of the shingles is by document counts over all documents, gathered task by task, then by hash;
+any order gives the same links. Sets that are equal are one class and are linked without a search. In
+lists of more than ``small`` members, members first probe one centre; what the links found so far do not
+join then probes the other members: by pairs, or in lists of more than ``crowd`` such members by whole
+shards, so that the rows grow with the members and not with their pairs.
+
+Null and empty texts have an empty set and link with nothing; texts may be of any length. Rows with a
+null id link with nothing; repeated ids are one document with the texts of each row; ids are cast to
+long. Ties go to the smallest id. Other columns are ignored. Shingles are 64-bit hashes of 64-bit word
+hashes.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import heapq
+from bisect import bisect_left
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, byte_slices, over_texts, record, splitmix, words_of, written
+from .common import Shared, byte_slices, dropped, over_texts, record, released, splitmix, words_of, written
 from .components import components
 
 SIZE = 5
@@ -35,12 +43,18 @@ SIZE = 5
 
 @dataclass(frozen=True)
 class JaccardConfig:
-    """``percent`` is the similarity; ``hottest`` bounds the shingles that are ordered by count, the others are ordered by hash."""
+    """``percent`` is the similarity; ``hottest`` bounds the shingles that are ordered by count, the others are ordered by hash.
+
+    ``shard`` is the number of documents whose lists a shard holds, about; ``mu`` weighs merging against probing when lists are divided.
+    """
 
     percent: int = 80
     small: int = 4
     hottest: int = 400_000
     hot: int = 64
+    crowd: int = 64
+    shard: int = 1000
+    mu: float = 0.05
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
@@ -152,8 +166,8 @@ def could_link(na, nb, pa_, pb, percent):
 
 
 def merged_lists(lists: DataFrame, config: JaccardConfig) -> DataFrame:
-    """Rows (a, b, shingle, n, pos, typical): candidate pairs of lists up to ``small`` members; of longer
-    lists pairs with the centre, and (b null) their members. Lists must stand together, sorted by shingle."""
+    """Rows (a, b, shingle, n, pos): probes a and documents b of lists up to ``small`` members; of longer
+    lists the members as probes of the centre, and (b null) the members. Lists must stand together, sorted by shingle."""
     small, percent = config.small, config.percent
 
     def flush(t: dict[str, np.ndarray]):
@@ -169,14 +183,13 @@ def merged_lists(lists: DataFrame, config: JaccardConfig) -> DataFrame:
         for s, e in zip(starts[size > small], ends[size > small], strict=True):
             own = np.arange(s, e)
             centre = own[np.lexsort((t["doc"][own], -t["typical"][own]))[0]]
-            pairs_a.append(np.full(len(own) - 1, centre))
-            pairs_b.append(own[own != centre])
+            pairs_a.append(own[own != centre])
+            pairs_b.append(np.full(len(own) - 1, centre))
             long_rows.append(own)
         i, j = np.concatenate([*pairs_a, np.zeros(0, int)]).astype(int), np.concatenate([*pairs_b, np.zeros(0, int)]).astype(int)
         ok = could_link(t["n"][i], t["n"][j], t["pos"][i], t["pos"][j], percent) & (t["doc"][i] != t["doc"][j])
         a, b = t["doc"][i[ok]], t["doc"][j[ok]]
         if len(a):
-            a, b = np.minimum(a, b), np.maximum(a, b)
             once = np.unique(np.stack((a, b)), axis=1)
             k = once.shape[1]
             yield record(a=once[0], b=once[1], shingle=pa.nulls(k, pa.int64()), n=pa.nulls(k, pa.int32()), pos=pa.nulls(k, pa.int32()))
@@ -202,45 +215,51 @@ def merged_lists(lists: DataFrame, config: JaccardConfig) -> DataFrame:
     return lists.mapInArrow(run, "a long, b long, shingle long, n int, pos int")
 
 
-def of_paired(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, make, schema: str) -> DataFrame:
-    """A written table of make(ids, sets) for the documents in pairs (a, b), and a few more.
+def of_wanted(ids: DataFrame, docs: DataFrame, doc_id: str, text: str, make, schema: str) -> DataFrame:
+    """A written table of make(ids, sets) for the documents in ``ids`` (doc, without repeats), and perhaps a few more.
 
-    A bitmap of fixed size passes over most documents that are in no pair; joins on the table are exact.
+    Up to 2**25 documents a bitmap of a byte for each, 32 MB at most, passes over most others; beyond that
+    the texts are joined with the ids.
     """
-    bits = 1 << 23
-
-    def rows_of(whole):
-        at = np.flatnonzero(whole.any(1))
-        yield record(k=at.astype(np.int32), m=pa.array([whole[k].tobytes() for k in at], pa.binary()))
+    n = ids.count()
 
-    def marks(batches):
-        seen = np.zeros(bits // 8, dtype=np.uint8)
+    def made(batches):
         for batch in batches:
-            for c in ("a", "b"):
-                h = splitmix(batch.column(c).to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(bits)
-                np.bitwise_or.at(seen, (h >> np.uint64(3)).astype(np.int64), (1 << (h & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-        yield from rows_of(seen.reshape(-1, 64))
+            for part in byte_slices(batch, text, 1 << 18):
+                yield make(part.column(doc_id), shingle_sets(["" if t is None else t for t in part.column(text).to_pylist()]))
+        released()
+
+    known = docs.filter(F.col(doc_id).isNotNull()).select(doc_id, text)
+    if n > 1 << 25:
+        return written(known.join(ids.select(F.col("doc").alias(doc_id)), doc_id, "left_semi").mapInArrow(made, schema))
+    bits = 1 << max(16, int(np.ceil(np.log2(8 * max(n, 1)))))
+    stretch = min(bits, 1 << 16)
+
+    def places(batch, column):
+        return (splitmix(batch.column(column).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
 
-    def unite(batches):
-        whole = np.zeros(bits // 8, dtype=np.uint8).reshape(-1, 64)
+    def marks(batches):
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, m in zip(batch.column("k").to_pylist(), batch.column("m").to_pylist(), strict=True):
-                whole[k] |= np.frombuffer(m, np.uint8)
-        yield from rows_of(whole)
+            at = places(batch, "doc")
+            for c in np.unique(at // stretch).tolist():
+                held.setdefault(c, np.zeros(stretch, dtype=bool))[at[at // stretch == c] % stretch] = True
+        if held:
+            yield record(c=np.array(list(held), dtype=np.int64), m=pa.array([np.packbits(v).tobytes() for v in held.values()], pa.binary()))
 
-    bitmap = np.zeros(bits // 8, dtype=np.uint8).reshape(-1, 64)
-    for r in pairs.mapInArrow(marks, "k int, m binary").repartition(16, "k").mapInArrow(unite, "k int, m binary").toArrow().to_pylist():
-        bitmap[r["k"]] |= np.frombuffer(r["m"], np.uint8)
+    bitmap = np.zeros((bits // stretch, stretch // 8), dtype=np.uint8)
+    for r in ids.select("doc").mapInArrow(marks, "c long, m binary").toLocalIterator():
+        bitmap[r["c"]] |= np.frombuffer(r["m"], np.uint8)
     shared = Shared(docs.sparkSession, bitmap.ravel())
 
     def rows(batches):
         for batch in batches:
-            h = splitmix(batch.column(doc_id).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(bits)
-            wanted = (shared.value[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            for part in byte_slices(batch.filter(pa.array(wanted)), text, 1 << 18):
-                yield make(part.column(doc_id), shingle_sets(["" if t is None else t for t in part.column(text).to_pylist()]))
+            at = places(batch, doc_id)
+            wanted = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            if wanted.any():
+                yield from made([batch.filter(pa.array(wanted))])
 
-    return written(docs.filter(F.col(doc_id).isNotNull()).select(doc_id, text).mapInArrow(rows, schema))
+    return written(known.mapInArrow(rows, schema))
 
 
 def joined(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -272,12 +291,8 @@ def cells(raw) -> tuple[int, np.ndarray]:
     return k, np.frombuffer(rest, np.uint8 if len(rest) == 1 << k else np.uint32).astype(np.int64)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, config: JaccardConfig, doc_id: str, text: str) -> DataFrame:
-    """The pairs (a, b) that link: each shingle of the smaller set is looked up in the larger one by binary search.
-
-    Before whole sets travel, histograms of the hashes bound the intersection from above and rule
-    out pairs that cannot link.
-    """
+def likely(pairs: DataFrame, docs: DataFrame, config: JaccardConfig, doc_id: str, text: str) -> DataFrame:
+    """The pairs (a, b) that histograms of the hashes, which bound the intersection from above, do not rule out."""
     percent = config.percent
 
     def could(x, y) -> bool:
@@ -289,24 +304,162 @@ def verified(pairs: DataFrame, docs: DataFrame, config: JaccardConfig, doc_id: s
         most = int(np.minimum(p, q).sum())
         return 100 * most >= percent * (int(p.sum()) + int(q.sum()) - most)
 
-    def link(x, y) -> bool:
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        if len(x) > len(y):
-            x, y = y, x
-        if not len(x):
-            return False
-        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-        both = int((y[at] == x).sum())
-        return 100 * both >= percent * (len(x) + len(y) - both)
+    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    sketches = of_wanted(wanted, docs, doc_id, text, lambda ids, sets: record(doc=ids, h=pa.array([histogram(s) for s in sets], pa.binary())), "doc long, h binary")
+    out = written(kept_pairs(joined(pairs, sketches, "h"), could))
+    dropped(docs.sparkSession, sketches)
+    return out
+
 
-    sketches = of_paired(pairs, docs, doc_id, text, lambda ids, sets: record(doc=ids, h=pa.array([histogram(s) for s in sets], pa.binary())), "doc long, h binary")
-    left = written(kept_pairs(joined(pairs, sketches, "h"), could))
-    whole = of_paired(left, docs, doc_id, text, lambda ids, sets: record(doc=ids, s=pa.array([s.tobytes() for s in sets], pa.binary())), "doc long, s binary")
-    return kept_pairs(joined(left, whole, "s"), link)
+@dataclass
+class ShardIndex:
+    """Inverted lists of a shard: ``postings`` are list and document in one number, sorted, so that each list is a stretch in order of its documents."""
+
+    docs: np.ndarray
+    sizes: np.ndarray
+    keys: np.ndarray
+    begin: np.ndarray
+    postings: np.ndarray
+    percent: int
+    mu: float
+    pops: int = 0
+    probes: int = 0
+    roots: dict = field(default_factory=dict)
+
+    @classmethod
+    def build(cls, docs: list[int], sets: list[np.ndarray], percent: int, mu: float) -> ShardIndex:
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        shingle, doc = np.concatenate([*sets, np.empty(0, np.uint64)]), np.repeat(np.arange(len(sets)), sizes)
+        keys, place = np.unique(shingle, return_inverse=True)
+        postings = np.sort(place.astype(np.int64) << 32 | doc)
+        return cls(np.array(docs, dtype=np.int64), sizes, keys, np.append(np.searchsorted(postings, np.arange(len(keys)) << 32), len(postings)), postings, percent, mu)
+
+    def merged(self, lists: list[list[int]], least: int) -> list[tuple[int, int]]:
+        """(document, occurrences) of documents in ``least`` of the lists or more: a heap of the lists' heads, that skips what cannot reach it."""
+        heap = [(own[0], k, 0) for k, own in enumerate(lists)]
+        heapq.heapify(heap)
+        out = []
+        while len(heap) >= least:
+            head, popped = heap[0][0], []
+            while heap and heap[0][0] == head:
+                popped.append(heapq.heappop(heap))
+            self.pops += len(popped)
+            if len(popped) >= least:
+                out.append((head, len(popped)))
+                target = head + 1
+            else:
+                # with less than ``least`` lists out of the way nothing below the next head can reach the count
+                while heap and len(popped) < least - 1:
+                    popped.append(heapq.heappop(heap))
+                    self.pops += 1
+                if not heap:
+                    break
+                target = max(heap[0][0], head + 1)
+            for _, k, at in popped:
+                at = at + 1 if at + 1 < len(lists[k]) and lists[k][at + 1] >= target else bisect_left(lists[k], target, at)
+                if at < len(lists[k]):
+                    heapq.heappush(heap, (lists[k][at], k, at))
+        return out
+
+    def search(self, s: np.ndarray) -> list[int]:
+        """Documents of the shard that link with the set ``s``, by DivideSkip."""
+        n = len(s)
+        least = -(-self.percent * n // 100)
+        at = np.minimum(np.searchsorted(self.keys, s), max(len(self.keys) - 1, 0))
+        found = at[self.keys[at] == s] if len(self.keys) else at[:0]
+        if len(found) < least or not n:
+            return []
+        length = self.begin[found + 1] - self.begin[found]
+        found = found[np.argsort(length, kind="stable")]
+        # the long lists are left to binary search; one occurrence at least must come from the merge
+        long = max(0, min(least - 1, int(least / (self.mu * np.log2(length.max()) + 1))))
+        short, rest = found[: len(found) - long], found[len(found) - long :]
+        lists = [(self.postings[a:b] & 0xFFFFFFFF).tolist() for a, b in zip(self.begin[short].tolist(), self.begin[short + 1].tolist(), strict=True)]
+        out = []
+        for doc, seen in self.merged(lists, least - long):
+            need = -(-self.percent * (n + int(self.sizes[doc])) // (100 + self.percent))
+            if seen + len(rest) < need:
+                continue
+            wanted = rest << 32 | doc
+            place = np.minimum(np.searchsorted(self.postings, wanted), len(self.postings) - 1)
+            self.probes += len(wanted)
+            both = seen + int((self.postings[place] == wanted).sum())
+            if 100 * both >= self.percent * (n + int(self.sizes[doc]) - both):
+                out.append(doc)
+        return out
+
+    def root(self, x: int) -> int:
+        while (up := self.roots.get(x, x)) != x:
+            self.roots[x] = x = self.roots.get(up, up)
+        return x
+
+    def links(self, probe: int, s: np.ndarray) -> list[int]:
+        """Ids of documents that ``probe`` links with, without those that links of this shard have joined with it before."""
+        out = []
+        for doc in self.search(s):
+            other = int(self.docs[doc])
+            x, y = self.root(probe), self.root(other)
+            if x != y:
+                self.roots[max(x, y)] = min(x, y)
+                out.append(other)
+        return out
 
 
-def jaccard_links(docs: DataFrame, config: JaccardConfig = JaccardConfig(), doc_id="doc_id", text="text") -> tuple[DataFrame, DataFrame]:
-    """(doc, n) of every row, and links (a, b) whose components are those of all links."""
+def answered(routes: DataFrame, shards: int, docs: DataFrame, config: JaccardConfig, doc_id: str, text: str) -> DataFrame:
+    """Links (a, b) of routes: kind 0: document a is indexed in its shard; 1: probe a asks shard ``shard``."""
+    percent, mu = config.percent, config.mu
+    sets = of_wanted(routes.select(F.col("a").alias("doc")).distinct(), docs, doc_id, text, lambda ids, own: record(doc=ids, s=pa.array([s.tobytes() for s in own], pa.binary())), "doc long, s binary")
+    sent = routes.join(sets.withColumnRenamed("doc", "a"), "a").repartition("shard").sortWithinPartitions("shard", "kind", "a")
+
+    def rows(batches):
+        shard, index, own_ids, own_sets, a, b = None, None, [], [], [], []
+        for batch in batches:
+            for sh, kind, doc, raw in zip(batch.column("shard").to_pylist(), batch.column("kind").to_pylist(), batch.column("a").to_pylist(), batch.column("s"), strict=True):
+                if sh != shard:
+                    shard, index, own_ids, own_sets = sh, None, [], []
+                s = np.frombuffer(raw.as_buffer(), np.uint64)
+                if kind == 0:
+                    own_ids.append(doc)
+                    own_sets.append(s)
+                    continue
+                if index is None:
+                    index = ShardIndex.build(own_ids, own_sets, percent, mu)
+                    own_ids, own_sets = [], []
+                for other in index.links(doc, s):
+                    a.append(min(doc, other))
+                    b.append(max(doc, other))
+            if a:
+                yield record(a=np.array(a, np.int64), b=np.array(b, np.int64))
+                a, b = [], []
+        released()
+
+    out = written(sent.select("shard", "kind", "a", "s").mapInArrow(rows, "a long, b long").distinct())
+    dropped(docs.sparkSession, sets)
+    return out
+
+
+def shard_of(column: str, shards: int):
+    return F.pmod(F.xxhash64(column), F.lit(shards)).cast("int")
+
+
+def routed(pairs: DataFrame, config: JaccardConfig) -> tuple[DataFrame, int]:
+    """Routes of pairs (probe a, document b), each document in the shard of its id; and the number of shards."""
+    own = pairs.select(F.col("b").alias("a")).distinct()
+    shards = max(1, own.count() // config.shard)
+    return written(own.select("a", shard_of("a", shards).alias("shard"), F.lit(0).alias("kind")).unionByName(pairs.select("a", shard_of("b", shards).alias("shard"), F.lit(1).alias("kind")).distinct())), shards
+
+
+def verified(pairs: DataFrame, docs: DataFrame, config: JaccardConfig, doc_id: str, text: str) -> DataFrame:
+    """Links of the pairs (probe a, document b); links with other documents of a shard may come with them."""
+    left = likely(pairs, docs, config, doc_id, text)
+    routes, shards = routed(left, config)
+    out = answered(routes, shards, docs, config, doc_id, text)
+    dropped(docs.sparkSession, left, routes)
+    return out
+
+
+def jaccard_links(docs: DataFrame, config: JaccardConfig = JaccardConfig(), doc_id="doc_id", text="text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A written table, (doc, n) of every row in it, and links (a, b) whose components are those of all links."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     table = written(sizes_and_counts(docs, "doc_id", "text"))
@@ -321,18 +474,19 @@ def jaccard_links(docs: DataFrame, config: JaccardConfig = JaccardConfig(), doc_
     hot = lists.filter("hot")
     centres = F.broadcast(hot.groupBy("shingle").agg(F.max(F.struct("typical", (-F.col("doc")).alias("d"), "n", "pos")).alias("c")).select("shingle", (-F.col("c.d")).alias("cd"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cp")))
     met_centre = hot.join(centres, "shingle").filter((F.col("doc") != F.col("cd")) & fits("n", "cn", "pos", "cp", config.percent))
-    pairs = first.filter("b is not null").select("a", "b").unionByName(met_centre.select(F.least("doc", "cd").alias("a"), F.greatest("doc", "cd").alias("b")))
+    pairs = first.filter("b is not null").select("a", "b").unionByName(met_centre.select(F.col("doc").alias("a"), F.col("cd").alias("b")))
     pairs = written(pairs.distinct())
     same = sizes.filter(F.col("sig").isNotNull() & F.col("doc").isNotNull()).select("sig", "doc")
     least = same.groupBy("sig").agg(F.min("doc").alias("m"), F.max("doc").alias("x")).filter("m != x").select("sig", "m")
     copies = same.join(least, "sig").filter("doc != m").select(F.col("m").alias("a"), F.col("doc").alias("b"))
     links = written(verified(pairs, docs, config, "doc_id", "text").unionByName(copies))
-    # long lists: members that no link joins yet are compared with all members of another component
+    # long lists: members that no link joins yet probe the members of other components
     members = first.filter("b is null").select("shingle", F.col("a").alias("doc"), "n", "pos").unionByName(hot.select("shingle", "doc", "n", "pos"))
-    more = unjoined(members, components(links), pairs, config)
-    if more is not None:
-        links = written(links.unionByName(verified(more, docs, config, "doc_id", "text")))
-    return sizes.select("doc", "n"), links
+    more = unjoined(members, components(links), pairs, docs, config)
+    for found in more:
+        links = links.unionByName(found)
+    dropped(spark, lists, first, pairs)
+    return table, sizes.select("doc", "n"), links
 
 
 def fits(na: str, nb: str, pa_: str, pb: str, percent: int):
@@ -341,25 +495,47 @@ def fits(na: str, nb: str, pa_: str, pb: str, percent: int):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (F.least(a - F.col(pa_), b - F.col(pb)) >= need)
 
 
-def unjoined(members: DataFrame, labels: DataFrame, tested: DataFrame, config: JaccardConfig) -> DataFrame | None:
-    """Pairs of one list in different components that were not compared, and could link."""
-    own = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    own = written(own)
-    open_ = own.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("shingle")
-    own = own.join(open_, "shingle")
+def unjoined(members: DataFrame, labels: DataFrame, tested: DataFrame, docs: DataFrame, config: JaccardConfig) -> list[DataFrame]:
+    """Links between members of one list in different components that were not compared, and could link."""
+    own = written(members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")))
     # the largest component of a list stays where it is; the others look for partners
-    per = own.groupBy("shingle", "component").agg(F.count("*").alias("k"))
-    largest = per.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("m")).select("shingle", F.col("m.component").alias("largest"))
-    own = own.join(largest, "shingle")
-    seek = own.filter("component != largest").select("shingle", F.col("doc").alias("d2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("component").alias("c2"))
-    met = own.join(seek, "shingle").filter((F.col("component") != F.col("c2")) & ((F.col("component") == F.col("largest")) | (F.col("doc") < F.col("d2"))) & fits("n", "n2", "pos", "p2", config.percent))
-    pairs = written(met.select(F.least("doc", "d2").alias("a"), F.greatest("doc", "d2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-    return None if pairs.isEmpty() else pairs
+    per = written(own.groupBy("shingle", "component").agg(F.count("*").alias("k")))
+    largest = per.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("m"), F.sum("k").alias("all"), F.count("*").alias("kinds")).filter("kinds > 1")
+    largest = largest.select("shingle", F.col("m.component").alias("largest"), (F.col("all") > config.crowd).alias("crowded"))
+    open_ = written(own.join(largest, "shingle"))
+    out = []
+    if not open_.isEmpty():
+        few = open_.filter("not crowded")
+        seek = few.filter("component != largest").select("shingle", F.col("doc").alias("d2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("component").alias("c2"))
+        met = few.join(seek, "shingle").filter((F.col("component") != F.col("c2")) & ((F.col("component") == F.col("largest")) | (F.col("doc") < F.col("d2"))) & fits("n", "n2", "pos", "p2", config.percent))
+        same = F.struct(F.least("a", "b"), F.greatest("a", "b"))
+        before = tested.select(same.alias("x")).distinct()
+        pairs = written(met.select(F.col("d2").alias("a"), F.col("doc").alias("b")).distinct().withColumn("x", same).join(before, "x", "left_anti").select("a", "b"))
+        if not pairs.isEmpty():
+            out.append(verified(pairs, docs, config, "doc_id", "text"))
+        dropped(docs.sparkSession, pairs)
+        many = open_.filter("crowded")
+        if not many.isEmpty():
+            out.append(searched_shards(many, docs, config))
+    dropped(docs.sparkSession, own, per, open_)
+    return out
+
+
+def searched_shards(many: DataFrame, docs: DataFrame, config: JaccardConfig) -> DataFrame:
+    """Links among the members of crowded lists: each probes the shards that hold members of its lists."""
+    members = written(many.select("doc").distinct())
+    shards = max(1, members.count() // config.shard)
+    held = many.select("shingle", shard_of("doc", shards).alias("shard")).distinct()
+    asks = many.filter("component != largest").select("shingle", F.col("doc").alias("a")).join(held, "shingle").select("a", "shard", F.lit(1).alias("kind")).distinct()
+    routes = written(members.select(F.col("doc").alias("a"), shard_of("doc", shards).alias("shard"), F.lit(0).alias("kind")).unionByName(asks))
+    out = answered(routes, shards, docs, config, "doc_id", "text")
+    dropped(docs.sparkSession, members, routes)
+    return out
 
 
 def jaccard_join(docs: DataFrame, config: JaccardConfig = JaccardConfig(), doc_id="doc_id", text="text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) for every row."""
-    sizes, links = jaccard_links(docs, config, doc_id, text)
+    _, sizes, links = jaccard_links(docs, config, doc_id, text)
     found = components(links).withColumnRenamed("node", "doc")
     return sizes.join(found, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 

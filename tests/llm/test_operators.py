@@ -63,7 +63,7 @@ def test_jaccard_against_all_pairs(spark):
         sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()))
     links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     expected = list(zip(range(len(texts)), map(len, sets), roots(len(texts), links), strict=True))
-    for config in (JaccardConfig(), JaccardConfig(small=2, hot=2), JaccardConfig(hottest=3)):
+    for config in (JaccardConfig(), JaccardConfig(small=2, hot=2), JaccardConfig(hottest=3), JaccardConfig(small=2, hot=3, crowd=2, shard=7)):
         got = sorted(tuple(r) for r in jaccard_join(docs_of(spark, texts), config).collect())
         assert got == expected
     kept = drop_near_copies(docs_of(spark, texts))
