@@ -1,15 +1,21 @@
 """Benchmark decontamination: BM25 over test items with block-max WAND, then overlap of question and answer.
 
-Every passage of every document is a query against the inverted index of the test items. Postings
-lie in blocks with their largest score. Items longer than a passage are indexed as parts of about
-equal length that a passage can hold, and an item is retrieved with any of its parts. A passage whose bounds cannot reach the threshold is passed
-over, and a document at a time is skipped to past blocks that cannot reach it. All items at or above
-the threshold are verified: enough of the question's, and of the answer's, five-word shingles stand
-in the document. The answer is an item's last sentence if it has several, else its last third.
+Every passage of every document is a query against the inverted index of the test items. Items longer
+than a passage are indexed as parts of about equal length that a passage can hold, and an item is
+retrieved with any of its parts. Postings lie in blocks with their largest score: the upper level of
+blocks, of ``range`` neighbouring items, tells for all passages of a slice at once which of them could
+reach the threshold anywhere, without a posting being read; the others are passed over. For those the
+search goes through the lists, item at a time: the pivot follows from the lists' largest scores, blocks
+of the lists that cannot reach the threshold are skipped, and scores are summed only where both bounds
+allow it. All items at or above the threshold are verified: enough of the question's, and of the
+answer's, five-word shingles stand in the document. The answer is an item's last sentence if it has
+several, else its last third.
 
 The index has a bound: ``max_index_words`` postings are broadcast at once, longer benchmarks go in
-as many rounds as they need; document frequencies and the mean length are those of all rounds. Null and empty texts and items match nothing; items with fewer than
-five words are one shingle of that many; repeated rows are judged each; other columns are ignored.
+as many rounds as they need; document frequencies and the mean length are those of all rounds. Null and
+empty texts and items match nothing; items with fewer than five words are one shingle of that many;
+texts may be of any length; repeated rows are judged each, whatever their id; ties in the score are all
+retrieved; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +46,7 @@ class DecontaminationConfig:
     question: float = 0.6
     answer: float = 0.6
     block: int = 16
+    range: int = 2
     max_index_words: int = 2_000_000
 
 
@@ -129,20 +136,22 @@ class ItemIndex:
     answer: list[np.ndarray]
     sizes: list[int]
     block: int
+    range: int
     common: np.ndarray
     common_most: float
 
     def __post_init__(self):
-        self.lengths = np.array([len(i) for i in self.items], dtype=np.int64)
+        """The upper level: for each term the ranges of items that hold it, each with the term's largest score there."""
+        ranges, most = [], []
+        for i, s in zip(self.items, self.scores, strict=True):
+            at, first = np.unique(i // self.range, return_index=True)
+            ranges.append(at)
+            most.append(np.maximum.reduceat(s, first))
+        self.n_ranges = -(-len(self.best) // self.range)
+        self.lengths = np.array([len(r) for r in ranges], dtype=np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
-        rows = np.flatnonzero(self.common)
-        self.common_row = np.full(len(self.terms), len(rows))
-        self.common_row[rows] = np.arange(len(rows))
-        self.common_scores = np.zeros((len(rows) + 1, len(self.best)))
-        for k, t in enumerate(rows):
-            self.common_scores[k, self.items[t]] = self.scores[t]
-        self.all_items = np.concatenate([*self.items, np.zeros(0, np.int64)]).astype(np.int64)
-        self.all_scores = np.concatenate([*self.scores, np.zeros(0)])
+        self.ranges = np.concatenate([*ranges, np.zeros(0, np.int64)]).astype(np.int64)
+        self.range_most = np.concatenate([*most, np.zeros(0)])
 
     @classmethod
     def build(cls, rows: list[tuple[object, str]], config: DecontaminationConfig, stats: ItemStats | None = None) -> ItemIndex:
@@ -181,7 +190,7 @@ class ItemIndex:
             if more.max() > config.share / 2:
                 break
             weighs, common[t] = more, True
-        return cls([i for i, _ in rows], owner, terms, items, scores, blocks, most, best, question, answer, [min(SHINGLE, len(w)) for w in whole], config.block, common, float(weighs.max()) if len(words) else 0.0)
+        return cls([i for i, _ in rows], owner, terms, items, scores, blocks, most, best, question, answer, [min(SHINGLE, len(w)) for w in whole], config.block, config.range, common, float(weighs.max()) if len(words) else 0.0)
 
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All parts whose summed score over the terms reaches the threshold, by block-max WAND."""
@@ -226,8 +235,7 @@ class ItemIndex:
         """(document, item) of the retrieved items with the best score of a passage; documents lie one after the other.
 
         Terms of most items together weigh ``common_most`` at most. A passage goes to the search only
-        if the other terms' postings in its blocks of ``stride`` words could make up for the rest
-        with some item.
+        if in some range of items the largest scores of its other terms could make up for the rest.
         """
         if not len(words) or not len(self.terms):
             return {}
@@ -241,33 +249,34 @@ class ItemIndex:
         doc_of_word = np.repeat(np.arange(len(counts)), counts)
         block = first_block[doc_of_word] + (np.arange(len(words)) - firsts[doc_of_word]) // config.stride
         rare = ~self.common[term]
-        # each block and term once, then a row for each posting
+        # each block of words and term once, then a row for each range of items
         key = np.unique(block[at[rare]] * len(self.terms) + term[rare])
         term_of, block_of = key % len(self.terms), key // len(self.terms)
         n = self.lengths[term_of]
         flat = np.repeat(self.offsets[term_of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item, weight, block_of = self.all_items[flat], self.all_scores[flat], np.repeat(block_of, n)
+        place, weight, block_of = self.ranges[flat], self.range_most[flat], np.repeat(block_of, n)
         doc_of_block = np.repeat(np.arange(len(counts)), blocks_of)
         keys, weights = [], []
         for back in range(max(1, config.window // config.stride)):
             start = block_of - back
             ok = start >= first_block[doc_of_block[block_of]]
-            keys.append(start[ok] * len(self.best) + item[ok])
+            keys.append(start[ok] * self.n_ranges + place[ok])
             weights.append(weight[ok])
         key, back = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(back, np.concatenate(weights), minlength=len(key))
         key, sums = key[(reach := sums >= config.share - self.common_most)], sums[reach]
         if not len(key):
             return {}
-        windows, cuts = np.unique(key // len(self.best), return_index=True)
+        windows, cuts = np.unique(key // self.n_ranges, return_index=True)
+        best = np.maximum.reduceat(sums, cuts)
         out: dict[tuple[int, int], float] = {}
-        for w, x, y in zip(windows, cuts, [*cuts[1:], len(key)], strict=True):
+        for w, bound in zip(windows.tolist(), best.tolist(), strict=True):
             doc = int(doc_of_block[w])
             start = firsts[doc] + (w - first_block[doc]) * config.stride
             a, b = np.searchsorted(at, [start, min(start + config.window, firsts[doc] + counts[doc])])
             own = np.unique(term[a:b])
             # with the common terms that the passage has, no longer with all
-            if (sums[x:y] + self.common_scores[self.common_row[own]][:, key[x:y] % len(self.best)].sum(0)).max() < config.share:
+            if bound + self.most[own[self.common[own]]].sum() < config.share:
                 continue
             for part, score in self.wand(own.tolist(), config.share):
                 found = int(self.owner[part])
