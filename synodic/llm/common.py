@@ -114,7 +114,7 @@ def record(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays], names=list(columns))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, allowed: Column, cap: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, allowed: Column, cap: int, more: list[str] | tuple = ()) -> DataFrame:
     """(doc_id, label, text) of at most ``cap`` labelled documents, taken by hash order of the id.
 
     The cap bounds what a classifier is fitted on; the ids of the sample are at most ``cap`` rows,
@@ -122,7 +122,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & allowed)
     ids = known.groupBy(doc_id).agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64(doc_id), doc_id).limit(cap)
-    return docs.select(doc_id, text).join(F.broadcast(ids), doc_id)
+    return docs.select(doc_id, text, *more).join(F.broadcast(ids), doc_id)
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

@@ -1,8 +1,10 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
 The pairwise part is scored in linear time: sum over factors of half (sum of v*x) squared minus the
-sum of (v*x) squared. Null and empty texts get the score of a document without words; repeated rows
-are scored each; other columns of the input are ignored.
+sum of (v*x) squared. Metadata is the table's own count of signs (``n_chars``, if there is such a column):
+its size, and how far it is from the text's. Null and empty texts get the score of a document without
+words, a null count that of the text; texts may be of any length; repeated rows are scored each, whatever
+their id; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -12,10 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Shared, bucket_of, labelled_sample, over_texts, record, sigmoid, words_of
 
-STATS = 12
+STATS = 14
 BINS = 16
 
 
@@ -31,11 +34,13 @@ class QualityConfig:
     decay: float = 1e-5
 
 
-def statistics(text: str) -> list[float]:
-    """Structure statistics and metadata of a text, each between 0 and 1."""
+def statistics(text: str, n_chars: int | None = None) -> list[float]:
+    """Structure statistics of a text and metadata, each between 0 and 1."""
     n = len(text)
+    told = n if n_chars is None else max(int(n_chars), 0)
+    metadata = [min(1.0, np.log1p(told) / 14), min(1.0, abs(told - n) / max(n, 1))]
     if not n:
-        return [0.0] * STATS
+        return [0.0] * (STATS - 2) + metadata
     words = text.split()
     lines = text.split("\n")
     n_words = max(len(words), 1)
@@ -58,10 +63,11 @@ def statistics(text: str) -> list[float]:
         len(set(lines)) / len(lines),
         min(1.0, 4 * counts[192:].sum() / n),
         sum(not w[-1].isalpha() for w in words) / n_words,
+        *metadata,
     ]
 
 
-def features(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(texts: list[str], buckets: int, counts_told: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, feature, value) triples, sorted by document; one-hot bins follow the word buckets."""
     hashes, counts = words_of(texts)
     doc = np.repeat(np.arange(len(texts)), counts)
@@ -69,7 +75,7 @@ def features(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np
     doc, index, value = key // buckets, key % buckets, np.log1p(tf).astype(np.float32)
     norm = np.sqrt(np.bincount(doc, value * value, minlength=len(texts)))
     value = value / np.maximum(norm, 1e-9)[doc]
-    stats = np.array([statistics(t) for t in texts])
+    stats = np.array([statistics(t, n) for t, n in zip(texts, counts_told or [None] * len(texts), strict=True)])
     bins = np.minimum((stats * BINS).astype(int), BINS - 1) + buckets + np.arange(STATS) * BINS
     every = np.repeat(np.arange(len(texts)), STATS)
     doc, index = np.concatenate((doc, every)), np.concatenate((index, bins.ravel()))
@@ -127,13 +133,21 @@ class FactorisationMachine:
         return self
 
 
+def metadata(docs: DataFrame) -> list[str]:
+    return [c for c in ("n_chars",) if c in docs.columns and isinstance(docs.schema[c].dataType, T.NumericType)]
+
+
+def told(part) -> list | None:
+    return part.column("n_chars").to_pylist() if "n_chars" in part.schema.names else None
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig(), doc_id="doc_id", text="text", label="quality") -> FactorisationMachine:
     """Fit on labelled rows whose crc32(id) mod 4 is not 2; features are made on the executors."""
     buckets = config.buckets
-    sample = labelled_sample(docs, labels, doc_id, text, label, bucket_of(doc_id, 4) != 2, config.max_train)
+    sample = labelled_sample(docs, labels, doc_id, text, label, bucket_of(doc_id, 4) != 2, config.max_train, metadata(docs))
 
     def featurise(part, texts):
-        doc, index, value = features(texts, buckets)
+        doc, index, value = features(texts, buckets, told(part))
         cut = np.searchsorted(doc, np.arange(len(texts) + 1))
         pairs = [(index[a:b].astype(np.int32).tobytes(), value[a:b].tobytes()) for a, b in zip(cut, cut[1:], strict=False)]
         return record(id=part.column(doc_id).cast("string"), label=part.column("label"), ix=[p[0] for p in pairs], x=[p[1] for p in pairs])
@@ -152,10 +166,10 @@ def score_quality(docs: DataFrame, machine: FactorisationMachine, config: Qualit
     shared, buckets = Shared(docs.sparkSession, machine), config.buckets
 
     def score(part, texts):
-        return record(doc_id=part.column(doc_id), score=sigmoid(shared.value.margins(*features(texts, buckets), len(texts)).astype(np.float64)))
+        return record(doc_id=part.column(doc_id), score=sigmoid(shared.value.margins(*features(texts, buckets, told(part)), len(texts)).astype(np.float64)))
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return over_texts(docs.select(doc_id, text), text, score, f"doc_id {kind}, score double")
+    return over_texts(docs.select(doc_id, text, *metadata(docs)), text, score, f"doc_id {kind}, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, config: QualityConfig = QualityConfig()) -> DataFrame:
