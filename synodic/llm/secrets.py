@@ -4,8 +4,9 @@ Weak candidates (access identifiers, plain secrets, endpoints) are found as span
 kinds are joined where both stand in the same scope (a stretch of text without an empty line), and, if
 ``reach`` is given, one begins within so many code points of the other's end. Names may have a prefix
 (DB_USER, AWS_ACCESS_KEY_ID); spans begin at the name without it. A weak secret is reported only next to an
-identifier, an identifier or endpoint only next to a secret. Null texts count as empty; repeated rows
-are scanned each; other columns pass through ``redact``.
+identifier or an endpoint, an identifier or endpoint only next to a secret. Null texts count as empty; texts
+may be of any length; repeated rows are scanned each, whatever their id; spans that begin at one place go in
+the order of the kinds; other columns pass through ``redact``.
 """
 
 from __future__ import annotations
@@ -93,7 +94,7 @@ def linked_spans(text: str, base: list, config: SecretConfig = SecretConfig()) -
     access = [s for s in base if s[0] == "access"]
     strong = [s for s in base if s[0] == "assign"]
     identifiers = sorted(ident + access, key=lambda s: s[1])
-    reported = interval_join(weak, identifiers, config.reach, scopes)
+    reported = interval_join(weak, sorted(identifiers + ends, key=lambda s: s[1]), config.reach, scopes)
     weak = [weak[i] for i in sorted(reported)]
     secrets = sorted(weak + strong, key=lambda s: s[1])
     out = weak + [ident[i] for i in interval_join(ident, secrets, config.reach, scopes)]
