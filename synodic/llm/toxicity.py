@@ -2,8 +2,10 @@
 
 Features: lexicon densities, lexicon words near a second-person word, capitals, punctuation and
 obfuscation rates. The lexicon is a short fixed list and the words that the labelled sample shows
-far more often in toxic texts. Null and empty texts have all features 0; repeated rows are scored
-each; other columns of the input are ignored.
+far more often in toxic texts. The calibration is by margins of five folds, for each of which the lexicon
+and the trees are learned from the other four. Null and empty texts have all features 0; texts may be of
+any length; repeated rows are scored each, whatever their id; words that tie for the last places of the
+lexicon go by the alphabet; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, bucket_of, labelled_sample, over_texts, record, sigmoid
+from .common import Shared, bucket_of, labelled_sample, over_texts, record, sigmoid, written
 
 # Insults of everyday use, second-person words, signs that stand for letters.
 INSULTS = frozenset("idiot idiots moron morons stupid scum trash loser losers pathetic disgusting worthless clown clowns dumb imbecile fool garbage hate kill ugly filthy vermin idiota imbécil estúpido basura asqueroso crétin débile stupide ordure minable dumm dummkopf abschaum ekelhaft wertlos".split())
@@ -25,6 +27,7 @@ DISGUISE = str.maketrans("013457@$!|+", "oieastasilt")
 EDGES = " \t\r\n.,;:!?\"'()[]{}<>|*%&#$~_-=+/\\«»¿¡…“”’"
 INNER = re.compile(r"[.\-_*'’]")
 N_FEATURES = 14
+FOLDS = 5
 
 
 @dataclass(frozen=True)
@@ -167,44 +170,49 @@ class ToxicityModel:
         return np.interp(margin, self.at, self.value) if len(self.at) else sigmoid(margin)
 
 
-def learned_words(sample: DataFrame, text: str, config: ToxicityConfig) -> frozenset:
-    """Words in at least ``min_docs`` toxic texts of the sample whose share there is ``min_ratio`` times that elsewhere."""
+def learned_words(sample: DataFrame, text: str, config: ToxicityConfig) -> list[frozenset]:
+    """For each fold the lexicon that the others show, and at last that of all: words in at least ``min_docs`` toxic texts whose share there is ``min_ratio`` times that elsewhere."""
 
     def tally(part, texts):
         counts: Counter = Counter()
-        for t, y in zip(texts, part.column("label").to_pylist(), strict=True):
-            counts.update((w, y) for w in {plain(w)[0] for w in set(t.lower().split())} if len(w) > 1)
+        for t, y, k in zip(texts, part.column("label").to_pylist(), part.column("fold").to_pylist(), strict=True):
+            counts.update((w, y, k) for w in {plain(w)[0] for w in set(t.lower().split())} if len(w) > 1)
         keys = list(counts)
-        return record(word=[k[0] for k in keys], label=[int(k[1]) for k in keys], n=[counts[k] for k in keys])
-
-    words = over_texts(sample, text, tally, "word string, label long, n long")
-    by_word = words.groupBy("word").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 1, 0).otherwise(F.col("n"))).alias("b"))
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    bad, good = max(sizes.get(1, 0), 1), max(sizes.get(0, 0), 1)
-    ratio = ((F.col("a") + 0.5) / bad) / ((F.col("b") + 0.5) / good)
-    kept = by_word.filter((F.col("a") >= config.min_docs) & (ratio >= config.min_ratio)).orderBy(F.desc(F.col("a") * F.log(ratio)), "word").limit(config.max_lexicon)
-    return frozenset(r["word"] for r in kept.collect())
+        return record(word=[k[0] for k in keys], label=[int(k[1]) for k in keys], fold=[int(k[2]) for k in keys], n=[counts[k] for k in keys])
+
+    words = over_texts(sample, text, tally, "word string, label long, fold long, n long")
+    n = [(F.sum(F.when((F.col("label") == y) & (F.col("fold") == k), F.col("n")).otherwise(0)).alias(f"{'ba'[y]}{k}")) for y in (1, 0) for k in range(FOLDS)]
+    toxic = sum(F.col(f"a{k}") for k in range(FOLDS))
+    by_word = written(words.groupBy("word").agg(*n).filter(toxic >= config.min_docs))
+    sizes = {(r["label"], r["fold"]): r["n"] for r in sample.groupBy("label", "fold").agg(F.count("*").alias("n")).collect()}
+    out = []
+    for left in range(FOLDS + 1):
+        others = [k for k in range(FOLDS) if k != left]
+        a, b = (sum(F.col(f"{c}{k}") for k in others) for c in "ab")
+        bad, good = (max(sum(sizes.get((y, k), 0) for k in others), 1) for y in (1, 0))
+        ratio = ((a + 0.5) / bad) / ((b + 0.5) / good)
+        kept = by_word.filter((a >= config.min_docs) & (ratio >= config.min_ratio)).orderBy(F.desc(a * F.log(ratio)), "word").limit(config.max_lexicon)
+        out.append(frozenset(r["word"] for r in kept.collect()))
+    return out
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig(), doc_id="doc_id", text="text", label="toxic") -> ToxicityModel:
-    """Fit on labelled rows whose crc32(id) mod 4 is not 2; calibrate on a fifth kept from the trees."""
-    from .common import written
-
-    sample = written(labelled_sample(docs, labels, doc_id, text, label, bucket_of(doc_id, 4) != 2, config.max_train))
-    learned = learned_words(sample, text, config)
+    """Fit on labelled rows whose crc32(id) mod 4 is not 2; calibrated on folds by hash of the id that chose none of what scores them."""
+    sample = labelled_sample(docs, labels, doc_id, text, label, bucket_of(doc_id, 4) != 2, config.max_train)
+    sample = written(sample.withColumn("fold", F.pmod(F.xxhash64(doc_id), F.lit(FOLDS))))
+    lexicons = learned_words(sample, text, config)
 
     def featurise(part, texts):
-        return record(id=part.column(doc_id).cast("string"), label=part.column("label"), x=[np.array(features(t, learned)).tobytes() for t in texts])
+        return record(id=part.column(doc_id).cast("string"), label=part.column("label"), fold=part.column("fold"), x=[np.array([features(t, words) for words in lexicons]).tobytes() for t in texts])
 
-    rows = over_texts(sample, text, featurise, "id string, label int, x binary").toArrow().sort_by("id").to_pylist()
-    x = np.array([np.frombuffer(r["x"]) for r in rows]).reshape(-1, N_FEATURES)
-    y = np.array([r["label"] for r in rows], dtype=float)
-    fold = np.arange(len(y)) % 5
+    rows = over_texts(sample, text, featurise, "id string, label int, fold long, x binary").toArrow().sort_by("id").to_pylist()
+    x = np.array([np.frombuffer(r["x"]) for r in rows]).reshape(-1, FOLDS + 1, N_FEATURES)
+    y, fold = np.array([r["label"] for r in rows], dtype=float), np.array([r["fold"] for r in rows], dtype=int)
     margin = np.zeros(len(y))
-    for k in range(5 if len(y) >= 10 else 0):
-        margin[fold == k] = BoostedTrees().fit(x[fold != k], y[fold != k], config).margins(x[fold == k])
+    for k in range(FOLDS if len(y) >= 10 else 0):
+        margin[fold == k] = BoostedTrees().fit(x[fold != k, k], y[fold != k], config).margins(x[fold == k, k])
     at, value = isotonic(margin, y) if len(y) >= 10 else (np.zeros(0), np.zeros(0))
-    return ToxicityModel(learned, BoostedTrees().fit(x, y, config), at, value)
+    return ToxicityModel(lexicons[-1], BoostedTrees().fit(x[:, -1], y, config), at, value)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, config: ToxicityConfig = ToxicityConfig(), doc_id="doc_id", text="text") -> DataFrame:
