@@ -5,8 +5,11 @@ inverse document frequency; a template is a candidate where its mandatory key ph
 text, postings of all index words that agree on the relative position between text and candidate are
 intersected, and their weight is held against that of the whole template. The three base phrases are found beside that wherever their words stand consecutively.
 
-Null texts count as empty: no words, no labels, score 0. Repeated rows are scanned each; other
-columns are ignored. Ties in frequency go to the word first in the alphabet.
+Templates are the paragraphs of the licenses' notices, so that words that differ between two paragraphs
+(names, years) move no place. All index words of a text are looked up, none is left out, so that each of
+several licenses in a file is found. Null texts count as empty: no words, no labels, score 0; texts may be
+of any length; repeated rows are scanned each, whatever their id; other columns are ignored. Words of equal
+frequency weigh the same, and shares that reach ``share`` all count, so that no tie needs a rule.
 """
 
 from __future__ import annotations
@@ -20,27 +23,44 @@ from .common import written
 
 # Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# License templates with their mandatory key phrases, as lower-case words.
+# License templates, paragraph by paragraph (label, or label#paragraph), with their mandatory key phrases, as lower-case words.
 TEMPLATES = {
     "agpl": ("you can redistribute it and or modify it under the terms of the gnu affero general public license", "affero general public license"),
+    "agpl#2": ("you should have received a copy of the gnu affero general public license along with this program", "gnu affero general public license along with this program"),
     "apache": ("licensed under the apache license version 2 0", "apache license"),
+    "apache#2": ("you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "apache org licenses license 2 0"),
+    "apache#3": ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", "governing permissions and limitations under the license"),
     "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
+    "bsd#2": ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain the above copyright notice"),
+    "bsd#3": ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistributions in binary form must reproduce the above copyright notice"),
+    "bsd#4": ("nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software"),
+    "bsd#5": ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", "provided by the copyright holders and contributors as is"),
     "cc-by": ("this work is licensed under the creative commons attribution cc by 4 0 international license", "cc by"),
+    "cc-by#2": ("this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international license"),
     "cc-by-nc": ("licensed under cc by nc 4 0", "cc by nc"),
+    "cc-by-sa": ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
     "cc0": ("cc0 1 0 universal public domain dedication", "public domain dedication"),
     "gpl": ("this work is licensed under the gnu general public license version 3", "gnu general public license"),
+    "gpl#2": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "under the terms of the gnu general public license"),
+    "gpl#3": ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "see the gnu general public license for more details"),
     "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
+    "isc#2": ("the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", "the author disclaims all warranties with regard to this software"),
     "lgpl": ("you can redistribute it under the terms of the gnu lesser general public license", "lesser general public license"),
+    "lgpl#2": ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "under the terms of the gnu lesser general public license"),
     "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    "mit-notice": ("released under the mit license", "mit license"),
+    "mit#2": ("to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "merge publish distribute sublicense and or sell copies of the software"),
+    "mit#3": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included in all copies or substantial portions"),
+    "mit#4": ("released under the mit license", "mit license"),
+    "mit#5": ("in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software", "in no event shall the authors or copyright holders be liable for any claim"),
     "mpl": ("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    "mpl#2": ("if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file"),
     "reserved": ("copyright all rights reserved", "all rights reserved"),
     "unlicense": ("this is free and unencumbered software released into the public domain", "unencumbered software"),
+    "unlicense#2": ("anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "anyone is free to copy modify publish use compile sell or distribute this software"),
 }
 # Words of the templates that are no sign of a license and are left out of the index.
-STOPS = set("a and any are by can for in into is it of or that the this to under with without you use v 0 1 2 3 4 work code form free person files met source provided".split())
+STOPS = set("a all an and any are as at be but by can either for from in into is it its may must not of one or other out see shall should that the this to under was will with without you use v 0 1 2 3 4 work code form free person files file met source provided even have if any later kind even option your hope means more list above following used names".split())
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-NAMES = {"mit-notice": "mit"}
 
 
 @dataclass(frozen=True)
@@ -103,9 +123,7 @@ def find_licenses(docs: DataFrame, config: LicenseConfig = LicenseConfig(), doc_
     met = words.filter(F.size("keys") > 0).join(posted, "t").join(idf, "t").filter(F.array_contains("keys", F.col("template")))
     met = met.groupBy("row", "template", (F.col("p") - F.col("q")).alias("at")).agg(F.sum("idf").alias("weight"))
     met = met.join(F.broadcast(full), "template").select("row", "template", (F.col("weight") / F.col("full")).alias("share"))
-    label = F.col("template")
-    for name, short in NAMES.items():
-        label = F.when(label == name, short).otherwise(label)
+    label = F.substring_index("template", "#", 1)
     found = met.filter(F.col("share") >= config.share).groupBy("row").agg(F.collect_set(label).alias("own"), F.max("share").alias("share"))
     base = F.coalesce(F.col("base"), F.array().cast("array<struct<p:bigint,label:string>>"))
     own = F.coalesce(F.col("own"), F.array().cast("array<string>"))
