@@ -4,7 +4,8 @@ The text is lower-cased, every run of other signs than letters becomes one space
 the lowest cross-entropy per sign is chosen; a document is rejected if its cross-entropy lies far
 beyond what all but the last hundredth of a calibration sample of that language shows, or beyond
 that of signs drawn evenly from the languages' letters. Null texts and texts without letters are ``und``,
-score 0, rejected; ties go to the first language by name; repeated rows are judged each.
+score 0, rejected; ties go to the first language by name; texts may be of any length; repeated rows are
+judged each, whatever their id.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +25,16 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class LanguageConfig:
-    """``per_language`` sizes the sample of each language that the models are fitted on (a share by hash of the id), and as many again for calibration."""
+    """``per_language`` sizes the sample of each language that the models are fitted on (a share by hash of the id), and as many again for calibration.
+
+    ``max_languages`` bounds the languages that are learned, those with most documents (the first by name among equal ones).
+    """
 
     order: int = 4
     per_language: int = 300
     discount: float = 0.75
     slack: float = 4.0
+    max_languages: int = 200
 
 
 def letter_table() -> np.ndarray:
@@ -210,13 +216,11 @@ def fit_language(docs: DataFrame, config: LanguageConfig = LanguageConfig(), doc
     """
     allowed = bucket_of(doc_id, 3) != 1 if allowed is None else allowed
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & allowed).select(doc_id, text, lang, F.xxhash64(doc_id).alias("h"))
-    sizes = {r[lang]: r["n"] for r in known.groupBy(lang).agg(F.count("*").alias("n")).collect()}
+    sizes = known.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(config.max_languages).collect()
     if not sizes:
         return LanguageModels([], config.order, {}, {}, np.zeros(0), np.zeros(0), np.zeros(0))
-    share = F.lit(0.0)
-    for name, n in sorted(sizes.items()):
-        share = F.when(F.col(lang) == name, min(1.0, 2 * config.per_language / n)).otherwise(share)
-    sample = known.filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).select(doc_id, text, lang, F.pmod(F.shiftright("h", 21), F.lit(2)).alias("side"))
+    shares = docs.sparkSession.createDataFrame([(r[0], min(1.0, 2 * config.per_language / r[1])) for r in sizes], f"`{lang}` string, share double")
+    sample = known.join(F.broadcast(shares), lang).filter(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20)).select(doc_id, text, lang, F.pmod(F.shiftright("h", 21), F.lit(2)).alias("side"))
     order = config.order
 
     def tally(part, texts):
@@ -258,10 +262,10 @@ def fit_language(docs: DataFrame, config: LanguageConfig = LanguageConfig(), doc
 
 
 def detect(docs: DataFrame, models: LanguageModels, config: LanguageConfig = LanguageConfig(), text="text") -> DataFrame:
-    """All columns of ``docs`` and lang_pred, score, rejected, cross_entropy."""
+    """All columns of ``docs`` and lang_pred, score, rejected, cross_entropy; an error if ``docs`` has such a column already."""
     shared, slack = Shared(docs.sparkSession, models), config.slack
-    own = ("lang_pred", "score", "rejected", "cross_entropy")
-    docs = docs.drop(*own)
+    if taken := {c.lower() for c in docs.columns} & {"lang_pred", "score", "rejected", "cross_entropy"}:
+        raise ValueError(f"rename these columns first: {sorted(taken)}")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double, rejected boolean, cross_entropy double"
     tables: list = []
 
@@ -274,6 +278,18 @@ def detect(docs: DataFrame, models: LanguageModels, config: LanguageConfig = Lan
     return over_texts(docs, text, judge, schema)
 
 
+def known_language(docs: DataFrame, models: LanguageModels, config: LanguageConfig = LanguageConfig(), text="text") -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with their columns as they are."""
+    shared, slack, tables = Shared(docs.sparkSession, models), config.slack, []
+
+    def judge(part, texts):
+        if not tables:
+            tables.append(letter_table())
+        return part.filter(pa.array(~shared.value.predict(texts, tables[0], slack)[2]))
+
+    return over_texts(docs, text, judge, docs.schema)
+
+
 def language(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row of ``docs``."""
     found = detect(docs.select("doc_id", "text"), fit_language(docs, config), config)
