@@ -11,15 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from synodic.llm.benchmarks import decontaminate
-from synodic.llm.common import written
+from synodic.llm.common import dropped, written
 from synodic.llm.jaccard import drop_near_copies
-from synodic.llm.language import detect, fit_language
+from synodic.llm.language import fit_language, known_language
 from synodic.llm.pieces import encode_table
 from synodic.llm.secrets import redact
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return detect(docs, fit_language(docs)).filter("not rejected").select(*docs.columns)
+    return known_language(docs, fit_language(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_table(docs, digest=False)
+    return encode_table(docs, digest=False, generation=60_000)
 
 
 STAGES = [("language ID", language_id), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", decontamination), ("secret scans", secret_redaction), ("SentencePiece encoding", tokens)]
@@ -45,9 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs)
+            if before is not None:
+                dropped(spark, before)
+            before = docs
     return docs
