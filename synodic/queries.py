@@ -47,7 +47,7 @@ def shop(spark, sf_dir, **hints) -> Simulation:
     """Customers and orders; an edge from each order to its customer."""
     model = Model("shop").agent("Customer", "bal decimal(18,2), nation int, n long, spend decimal(28,2)").agent("Order", "total decimal(18,2), priority string")
     model.edge("Placed", "total decimal(18,2)", **hints)
-    sim = Simulation(spark, model)
+    sim = Simulation(spark, model, lazy=True)
     agents(sim, spark, sf_dir, "Customer", "customer", "c_custkey", bal=money("c_acctbal"), nation=F.col("c_nationkey"), n=None, spend=None)
     agents(sim, spark, sf_dir, "Order", "orders", "o_orderkey", total=money("o_totalprice"), priority=F.col("o_orderpriority"))
     sim.add_edges("Placed", table(spark, sf_dir, "orders").select(ident(sim, "Order", "o_orderkey").alias("from"), ident(sim, "Customer", "o_custkey").alias("to"), money("o_totalprice").alias("total")))
@@ -58,7 +58,7 @@ def lines(spark, sf_dir) -> Simulation:
     """Parts, suppliers and orders; an edge for each line from part to order and from supplier to order (parallel ones stay)."""
     model = Model("lines").agent("Part", "price decimal(18,2), size int").agent("Supplier", "bal decimal(18,2)").agent("Order", "value decimal(28,2), n long")
     model.edge("Uses", "qty decimal(18,2), discount decimal(18,2)").edge("Ships", "qty decimal(18,2), discount decimal(18,2)")
-    sim = Simulation(spark, model)
+    sim = Simulation(spark, model, lazy=True)
     agents(sim, spark, sf_dir, "Part", "part", "p_partkey", price=money("p_retailprice"), size=F.col("p_size"))
     agents(sim, spark, sf_dir, "Supplier", "supplier", "s_suppkey", bal=money("s_acctbal"))
     agents(sim, spark, sf_dir, "Order", "orders", "o_orderkey", value=None, n=None)
@@ -97,7 +97,7 @@ def has_edge(spark, sf_dir):
 def world(spark, sf_dir) -> Simulation:
     model = Model("world").agent("Region", "seen string, size long").agent("Nation", "name string, region int").agent("Customer", "bal decimal(18,2)")
     model.edge("In", "k int").edge("Lives", hints=["Stateless"])
-    sim = Simulation(spark, model)
+    sim = Simulation(spark, model, lazy=True)
     agents(sim, spark, sf_dir, "Region", "region", "r_regionkey", 1, seen=None, size=None)
     agents(sim, spark, sf_dir, "Nation", "nation", "n_nationkey", 1, name=F.col("n_name"), region=F.col("n_regionkey"))
     agents(sim, spark, sf_dir, "Customer", "customer", "c_custkey", bal=money("c_acctbal"))
@@ -206,10 +206,7 @@ def remove_edges_to(spark, sf_dir):
 
 @query("SELECT count(*) AS n, CAST(sum(l_suppkey) AS BIGINT) AS s FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_discount > 0.09 AND r.l_suppkey = l.l_suppkey AND r.l_orderkey = l.l_orderkey)")
 def remove_edges_pair(spark, sf_dir):
-    def rule(c):
-        marked = F.filter(c.edges("Ships"), lambda e: e.state.discount > 0.09)
-        return Step(drops=[DropEdges("Ships", to=F.col("id"), source=F.col("each.from"), each=F.coalesce(marked, F.array().cast("array<struct<from:bigint,state:struct<qty:decimal(18,2),discount:decimal(18,2)>>>")))])
-
+    rule = lambda c: Step(drops=[DropEdges("Ships", to=c.id, matching=F.col("discount") > 0.09)])
     after = lines(spark, sf_dir).apply(rule, "Order", read=["Order", "Ships"], write="Ships", add_existing="Ships")
     return after.edges("Ships").agg(F.count("*").alias("n"), F.sum(agent_nr(F.col("from"))).alias("s"))
 
@@ -259,7 +256,7 @@ def birth_edges(spark, sf_dir):
 
 def latest(spark, sf_dir, hints, schema=""):
     model = Model("hints").agent("Customer", "").agent("Order", "").edge("Last", schema, hints=hints)
-    sim = Simulation(spark, model)
+    sim = Simulation(spark, model, lazy=True)
     agents(sim, spark, sf_dir, "Customer", "customer", "c_custkey")
     agents(sim, spark, sf_dir, "Order", "orders", "o_orderkey")
     rows = table(spark, sf_dir, "orders")
@@ -286,7 +283,7 @@ def has_edge_only(spark, sf_dir):
 
 def grid(spark, dims, **options) -> Simulation:
     model = Model("grid").agent("Cell", "".join(f"i{k} int, " for k in range(len(dims))) + "active boolean").agent("Mover", "value long").edge("Next", hints=["Stateless"]).edge("On", hints=["Stateless"])
-    sim = Simulation(spark, model)
+    sim = Simulation(spark, model, lazy=True)
     sim.add_raster("g", dims, "Cell", active=F.lit(False), **{f"i{k}": F.col(f"i{k}") for k in range(len(dims))})
     return sim.connect_raster_neighbors("g", "Next", **options)
 
@@ -347,36 +344,33 @@ def random_cells_weighted(spark, sf_dir):
 
 
 def opinions(spark, sf_dir) -> Simulation:
-    """Customers of a nation know each other, and themselves."""
-    model = Model("opinions").agent("Person", "opinion decimal(18,2), nation int, n long, s decimal(28,2)").edge("Knows", hints=["Stateless"])
-    sim = Simulation(spark, model)
+    """Customers; those of a nation are a complete graph, which needs no edges."""
+    model = Model("opinions").agent("Person", "opinion decimal(18,2), nation int, n long, s decimal(28,2)")
+    sim = Simulation(spark, model, lazy=True)
     agents(sim, spark, sf_dir, "Person", "customer", "c_custkey", opinion=money("c_acctbal"), nation=F.col("c_nationkey"), n=None, s=None)
-    p = table(spark, sf_dir, "customer")
-    sim.add_edges("Knows", p.select(F.col("c_nationkey").alias("g"), ident(sim, "Person", "c_custkey").alias("from")).join(p.select(F.col("c_nationkey").alias("g"), ident(sim, "Person", "c_custkey").alias("to")), "g"))
     return sim.finish_init()
 
 
 @query("WITH x AS (SELECT c_custkey AS i, c_nationkey AS g, CAST(c_acctbal AS DECIMAL(18,2)) AS o FROM customer) SELECT a.i AS id, count(*) AS n, CAST(sum(b.o) AS DECIMAL(28,2)) AS s FROM x a JOIN x b ON a.g = b.g AND abs(a.o - b.o) < 500 GROUP BY a.i")
 def opinion_step(spark, sf_dir):
     def rule(c):
-        near = F.abs(F.col("own.opinion") - F.col("source.opinion")) < 500
-        n, s = c.agg("Knows", F.count_if(near), "Person", own=True), c.agg("Knows", F.sum(F.when(near, F.col("source.opinion"))), "Person", own=True)
+        n, s = c.near(c.state.nation, c.state.opinion, 500, c.state.opinion)
         return Step({"n": n, "s": s}, alive=n.isNotNull())
 
-    after = opinions(spark, sf_dir).apply(rule, "Person", read=["Person", "Knows"], write="Person")
+    after = opinions(spark, sf_dir).apply(rule, "Person", read=["Person"], write="Person")
     return after.agents("Person").select(nr("id").alias("id"), "n", "s")
 
 
 @query("WITH p AS (SELECT l_orderkey AS k, count(DISTINCT l_partkey) AS a, count(DISTINCT l_suppkey) AS b FROM lineitem GROUP BY 1) SELECT CAST(sum(a * b) AS BIGINT) AS n FROM p")
 def hub_pairs(spark, sf_dir):
-    rule = lambda c: Step({"n": F.size(F.array_distinct(c.neighborids("Uses"))).cast("long") * F.size(F.array_distinct(c.neighborids("Ships")))}, alive=c.has_edge("Uses"))
+    rule = lambda c: Step({"n": c.agg("Uses", F.count_distinct("from")) * c.agg("Ships", F.count_distinct("from"))}, alive=c.has_edge("Uses"))
     after = lines(spark, sf_dir).apply(rule, "Order", read=["Order", "Uses", "Ships"], write="Order")
     return one_row(spark, n=(after.mapreduce(F.col("n"), "+", "Order"), "long"))
 
 
 def returned(spark, sf_dir) -> Simulation:
     model = Model("returned").agent("Part", "").agent("Order", "").edge("A", hints=["Stateless"]).edge("Other", hints=["Stateless"])
-    sim = Simulation(spark, model)
+    sim = Simulation(spark, model, lazy=True)
     agents(sim, spark, sf_dir, "Part", "part", "p_partkey")
     agents(sim, spark, sf_dir, "Order", "orders", "o_orderkey")
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", ident(sim, "Part", "l_partkey").alias("from"), ident(sim, "Order", "l_orderkey").alias("to"))
@@ -454,7 +448,7 @@ def user_transitions(spark, sf_dir):
     from pyspark.sql import Window
 
     model = Model("users").agent("Event", "kind string, before string").edge("Then", hints=["Stateless", "SingleEdge"])
-    sim = Simulation(spark, model)
+    sim = Simulation(spark, model, lazy=True)
     agents(sim, spark, sf_dir, "Event", "events", "event_id", 1, kind=F.col("event_type"), before=None)
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     pairs = table(spark, sf_dir, "events").select("event_id", F.lead("event_id").over(w).alias("next")).dropna()

@@ -58,10 +58,10 @@ class Store:
             if not outer:
                 self.flush()
 
-    def add_table(self, kind: str, name: str, transition: int, frame: DataFrame, **more) -> None:
+    def add_table(self, entry: str, name: str, transition: int, frame: DataFrame, **more) -> None:
         file = f"tables/{uuid.uuid4().hex}"
         frame.write.option("compression", config.codec).parquet(f"{self.path}/{file}")
-        self.put(kind, name, transition, {**more, "file": file, "schema": frame.schema.jsonValue()})
+        self.put(entry, name, transition, {**more, "file": file, "schema": frame.schema.jsonValue()})
 
     def entries(self, kind: str, name: str | None = None) -> list:
         self.flush()
