@@ -54,7 +54,7 @@ class JaccardConfig:
     hot: int = 64
     crowd: int = 64
     shard: int = 1000
-    mu: float = 0.05
+    mu: float = 0.0085
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
@@ -524,7 +524,8 @@ def unjoined(members: DataFrame, labels: DataFrame, tested: DataFrame, docs: Dat
 def searched_shards(many: DataFrame, docs: DataFrame, config: JaccardConfig) -> DataFrame:
     """Links among the members of crowded lists: each probes the shards that hold members of its lists."""
     members = written(many.select("doc").distinct())
-    shards = max(1, members.count() // config.shard)
+    # every probe meets long lists here: smaller shards, so that more tasks share the work
+    shards = max(1, 8 * members.count() // config.shard)
     held = many.select("shingle", shard_of("doc", shards).alias("shard")).distinct()
     asks = many.filter("component != largest").select("shingle", F.col("doc").alias("a")).join(held, "shingle").select("a", "shard", F.lit(1).alias("kind")).distinct()
     routes = written(members.select(F.col("doc").alias("a"), shard_of("doc", shards).alias("shard"), F.lit(0).alias("kind")).unionByName(asks))
