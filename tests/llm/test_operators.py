@@ -17,7 +17,6 @@ from synodic.llm.quality import quality
 from synodic.llm.secrets import find_secrets, redact, redacted, scan
 from synodic.llm.suffixes import SuffixConfig, dedup
 from synodic.llm.toxicity import isotonic, toxicity
-from synodic.llm.vectors import near_vectors
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, a string"
 
@@ -185,36 +184,6 @@ def test_decontamination_by_row(spark):
     assert decontaminate(docs, items.limit(0)).count() == 5
 
 
-def test_vectors_against_all_pairs(spark):
-    rng = np.random.default_rng(4)
-    centres = rng.normal(size=(20, 16))
-    x = [(c + rng.normal(size=16) * s).tolist() for c in centres for s in (0, 0, 0.1, 0.2, 0.3)] + [None, [0.0] * 16, [float("nan")] * 16, [1.0, None] * 8, [1.0]]
-    got = sorted(tuple(r) for r in near_vectors(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")).collect())
-    u = np.array(x[:100])
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    linked = u @ u.T >= 0.9
-    np.fill_diagonal(linked, False)
-    root = roots(105, [(i, j) for i in range(100) for j in range(i) if linked[i, j]])
-    n = [*linked.sum(1).tolist(), 0, 0, 0, 0, 0]
-    assert got == [(k, n[k], root[k], root[k] == k) for k in range(105)]
-
-
-def test_vectors_in_a_crowd(spark):
-    rng = np.random.default_rng(9)
-    n, planted = 5000, 150
-    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
-    centre = unit(rng.normal(size=64))
-    x = unit(np.sqrt(0.8) * centre + np.sqrt(0.2) * unit(rng.normal(size=(n, 64))))
-    x[-planted:] = unit(x[:planted] + 0.44 * unit(rng.normal(size=(planted, 64))))
-    x = np.concatenate((x, unit(rng.normal(size=(40, 64))), x[:1]))
-    got = sorted(tuple(r) for r in near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect())
-    linked = unit(x) @ unit(x).T >= 0.9
-    np.fill_diagonal(linked, False)
-    root = roots(len(x), np.argwhere(np.tril(linked)).tolist())
-    assert linked[:planted].any(1).all()
-    assert got == [(k, int(linked[k].sum()), root[k], root[k] == k) for k in range(len(x))]
-
-
 def labelled(spark):
     rng = random.Random(6)
     words = ["alpha", "beta", "gamma", "delta", "omega", "the", "of"]
