@@ -356,7 +356,7 @@ class ShardIndex:
                     break
                 target = max(heap[0][0], head + 1)
             for _, k, at in popped:
-                at = at + 1 if at + 1 < len(lists[k]) and lists[k][at + 1] >= target else bisect_left(lists[k], target, at)
+                at = bisect_left(lists[k], target, at)
                 if at < len(lists[k]):
                     heapq.heappush(heap, (lists[k][at], k, at))
         return out
@@ -408,8 +408,30 @@ class ShardIndex:
 def answered(routes: DataFrame, shards: int, docs: DataFrame, config: JaccardConfig, doc_id: str, text: str) -> DataFrame:
     """Links (a, b) of routes: kind 0: document a is indexed in its shard; 1: probe a asks shard ``shard``."""
     percent, mu = config.percent, config.mu
-    sets = of_wanted(routes.select(F.col("a").alias("doc")).distinct(), docs, doc_id, text, lambda ids, own: record(doc=ids, s=pa.array([s.tobytes() for s in own], pa.binary())), "doc long, s binary")
-    sent = routes.join(sets.withColumnRenamed("doc", "a"), "a").repartition("shard").sortWithinPartitions("shard", "kind", "a")
+    sets = None
+    if routes.count() <= 1 << 19:
+        # few enough for every task: sets go from their texts to the shards at once
+        to = F.broadcast(routes.groupBy("a").agg(F.collect_list(F.struct("shard", "kind")).alias("to")))
+        texts = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("a"), F.col(text).alias("text")).join(to, "a")
+
+        def made(batches):
+            for batch in batches:
+                for part in byte_slices(batch, "text", 1 << 18):
+                    n, own = [], []
+                    for raw, out in zip((s.tobytes() for s in shingle_sets(["" if t is None else t for t in part.column("text").to_pylist()])), part.column("to").to_pylist(), strict=True):
+                        n.append(len(out))
+                        own += [(raw, r["shard"], r["kind"]) for r in out]
+                    raw, shard, kind = zip(*own, strict=True)
+                    ids = np.repeat(part.column("a").to_numpy(), n)
+                    for k in range(0, len(own), 512):
+                        yield record(a=ids[k : k + 512], s=pa.array(raw[k : k + 512], pa.binary()), shard=np.array(shard[k : k + 512], np.int32), kind=np.array(kind[k : k + 512], np.int32))
+            released()
+
+        sent = texts.mapInArrow(made, "a long, s binary, shard int, kind int")
+    else:
+        sets = of_wanted(routes.select(F.col("a").alias("doc")).distinct(), docs, doc_id, text, lambda ids, own: record(doc=ids, s=pa.array([s.tobytes() for s in own], pa.binary())), "doc long, s binary")
+        sent = routes.join(sets.withColumnRenamed("doc", "a"), "a")
+    sent = sent.repartition("shard").sortWithinPartitions("shard", "kind", "a")
 
     def rows(batches):
         shard, index, own_ids, own_sets, a, b = None, None, [], [], [], []
@@ -434,7 +456,8 @@ def answered(routes: DataFrame, shards: int, docs: DataFrame, config: JaccardCon
         released()
 
     out = written(sent.select("shard", "kind", "a", "s").mapInArrow(rows, "a long, b long").distinct())
-    dropped(docs.sparkSession, sets)
+    if sets is not None:
+        dropped(docs.sparkSession, sets)
     return out
 
 

@@ -94,8 +94,9 @@ def test_query_path_of_pieces(spark):
         got = rows[k]
         assert got.n_tokens == len(got.ids) and model.decode(got.ids) == t
         if slow:
-            assert np.isclose(-got.best_score, slow[0][0]) and np.isclose(-got.next_score, slow[1][0])
-            assert model.decode(got.next_ids) == t and got.next_ids != got.ids
+            assert np.isclose(-got.best_score, slow[0][0]) and (got.next_score is None) == (len(slow) < 2)
+            if len(slow) == 2:
+                assert np.isclose(-got.next_score, slow[1][0]) and model.decode(got.next_ids) == t and got.next_ids != got.ids
         both = model.encode(t, 2)
         assert np.isclose(got.best_score, both[0][0]) and (got.next_score is None) == (len(both) < 2)
     back = decode_table(encode_table(docs, digest=False)).collect()
