@@ -1,21 +1,51 @@
-"""Connected components by alternating large-star and small-star steps, each over written tables."""
+"""Connected components by alternating large-star and small-star steps, each over written tables; few edges in one task."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, record, written
 
+#: So many edges, 2 MB, one task unites.
+FEW = 1 << 17
 
-def components(edges: DataFrame) -> DataFrame:
+
+def united(edges: DataFrame) -> DataFrame:
+    """(node, component) of a bounded number of edges, by union-find in one task."""
+
+    def rows(batches):
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up.setdefault(y, y)
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                up[max(a, b)] = min(a, b)
+        nodes = list(up)
+        for k in range(0, len(nodes), 10_000):
+            some = nodes[k : k + 10_000]
+            yield record(node=np.array(some, np.int64), component=np.array([root(x) for x in some], np.int64))
+
+    return edges.select("a", "b").repartition(1).mapInArrow(rows, "node long, component long")
+
+
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """(node, component): for each node of ``edges`` (a, b) the smallest node it reaches.
 
-    Nulls and loops are ignored. Each round joins every edge with one row per node (the smallest
-    neighbour), so that no neighbourhood is gathered; rounds end when a round changes no edge.
+    Nulls and loops are ignored. Up to ``few`` distinct edges are united in one task. Beyond that each round
+    joins every edge with one row per node (the smallest neighbour), so that no neighbourhood is gathered;
+    rounds end when a round changes no edge.
     """
     clean = edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     now = written(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if now.count() <= few:
+        return united(now)
     mark = None
     while True:
         # large star: neighbours above a node go to the smallest of it and its neighbours

@@ -321,3 +321,17 @@ def test_generations_are_bounded():
     text = " ".join(f"word{k}" for k in range(200))
     once = model.encode(text, 2)
     assert once == model.encode(text, 2) and all(len(v) <= 10 and len(v.old) <= 10 for v in model.caches.values())
+
+
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_components(spark, few):
+    from synodic.llm.components import components
+
+    from .test_operators import roots
+
+    rng = random.Random(3)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(300 + k, 301 + k) for k in range(60)]
+    slow = roots(400, links)
+    edges = spark.createDataFrame([*links, *links[:20], (5, None), (None, None)], "a long, b long")
+    got = {r.node: r.component for r in components(edges, few).collect()}
+    assert got == {x: slow[x] for pair in links if pair[0] != pair[1] for x in pair}
