@@ -151,7 +151,7 @@ class RasterMethods:
         """The frame with a random position (i0, ...) and cell: drawn from a hash of key and seed, so that it is the same in any order.
 
         weights: positions and a column ``weight``, all of them at least 0. Running sums are taken per
-        first axis and then over the axis, so that no task holds the grid.
+        first axis and then over the axis, so that no task holds the grid; draws and cells meet by bins.
         """
         dims, _, grid = self.rasters[name]
         axes = [f"i{k}" for k in range(len(dims))]
@@ -174,9 +174,11 @@ class RasterMethods:
         total = slices.agg(F.max("_high")).first()[0]
         within = Window.partitionBy("i0").orderBy(*axes[1:], "id")
         table = table.join(slices.select("i0", (F.col("_high") - F.col("w")).alias("_base")), "i0").withColumn("_to", F.col("_base") + F.sum("weight").over(within)).withColumn("_from", F.col("_to") - F.col("weight"))
-        drawn = frame.withColumn("_d", draw * F.lit(total))
-        rows = slices.select(F.col("i0").alias("_i0"), (F.col("_high") - F.col("w")).alias("_lo"), F.col("_high").alias("_hi"))
-        # as many rows as the first axis is long
-        drawn = drawn.join(F.broadcast(rows), (F.col("_d") >= F.col("_lo")) & (F.col("_d") < F.col("_hi")))
-        met = drawn.join(table.withColumnRenamed("id", "cell"), (F.col("_i0") == F.col("i0")) & (F.col("_d") >= F.col("_from")) & (F.col("_d") < F.col("_to")))
-        return met.drop("_d", "_lo", "_hi", "_i0", "_from", "_to", "_base", "weight")
+        # as many bins as cells: a draw meets the few cells of its bin
+        n = table.count()
+        width = F.lit(total / max(n, 1))
+        bins = F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor(F.col("_to") / width))).alias("_bin")
+        table = table.withColumnRenamed("id", "cell").select("*", bins)
+        drawn = frame.withColumn("_d", draw * F.lit(total)).withColumn("_bin", F.floor(F.col("_d") / width))
+        met = drawn.join(table, "_bin").filter((F.col("_d") >= F.col("_from")) & (F.col("_d") < F.col("_to")))
+        return met.drop("_d", "_bin", "_from", "_to", "_base", "weight")
