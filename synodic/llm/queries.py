@@ -98,7 +98,7 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d
     "op5_suffix_dedup": r"""
 WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 49)) AS i, h FROM t),
-k AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM w),
+k AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS s FROM w),
 o AS (SELECT s, min(doc_id) AS m FROM k GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
 v AS (SELECT k.doc_id, k.i FROM k JOIN o USING (s) WHERE k.doc_id > o.m),
 g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM v),
