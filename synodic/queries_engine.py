@@ -83,17 +83,19 @@ ACCESSORS = ("edges", "neighborids", "edgestates", "num_edges", "has_edge", "map
 HINTED = {
     "D": [], "E": ["SingleEdge"], "T": ["SingleType"], "I": ["IgnoreFrom"], "EI": ["SingleEdge", "IgnoreFrom"], "TI": ["SingleType", "IgnoreFrom"], "S": ["Stateless"], "SE": ["Stateless", "SingleEdge"],
     "ST": ["Stateless", "SingleType"], "SI": ["Stateless", "IgnoreFrom"], "SEI": ["Stateless", "SingleEdge", "IgnoreFrom"], "STI": ["Stateless", "SingleType", "IgnoreFrom"], "SETI": ["Stateless", "SingleEdge", "SingleType", "IgnoreFrom"],
+    # with a size
+    "Ts": ["SingleType"], "TsI": ["SingleType", "IgnoreFrom"], "STs": ["Stateless", "SingleType"], "STsI": ["Stateless", "SingleType", "IgnoreFrom"], "SETsI": ["Stateless", "SingleEdge", "SingleType", "IgnoreFrom"],
 }
 
 
 @query("""
-WITH t(name) AS (VALUES ('D'), ('E'), ('T'), ('I'), ('EI'), ('TI'), ('S'), ('SE'), ('ST'), ('SI'), ('SEI'), ('STI'), ('SETI')), a(accessor) AS (VALUES ('edges'), ('neighborids'), ('edgestates'), ('num_edges'), ('has_edge'), ('mapreduce'))
+WITH t(name) AS (VALUES ('D'), ('E'), ('T'), ('I'), ('EI'), ('TI'), ('S'), ('SE'), ('ST'), ('SI'), ('SEI'), ('STI'), ('SETI'), ('Ts'), ('TsI'), ('STs'), ('STsI'), ('SETsI')), a(accessor) AS (VALUES ('edges'), ('neighborids'), ('edgestates'), ('num_edges'), ('has_edge'), ('mapreduce'))
 SELECT name, accessor, CASE accessor WHEN 'edges' THEN name NOT LIKE '%S%' AND name NOT LIKE '%I%' WHEN 'neighborids' THEN name NOT LIKE '%I%' WHEN 'num_edges' THEN name NOT LIKE '%E%' WHEN 'has_edge' THEN true ELSE name NOT LIKE '%S%' END AS allowed FROM t, a
 """)
 def hint_matrix(spark, sf_dir):
     model = Model("matrix").agent("A", "")
     for name, hints in HINTED.items():
-        model.edge(name, "" if "Stateless" in hints else "x long", hints=hints, target="A" if "SingleType" in hints else None)
+        model.edge(name, "" if "Stateless" in hints else "x long", hints=hints, target="A" if "SingleType" in hints else None, size=10 if "s" in name else None)
     rows = [(name, accessor, not refused(lambda n=name, a=accessor: model.edges[n].allow(a))) for name in HINTED for accessor in ACCESSORS]
     return spark.createDataFrame(rows, "name string, accessor string, allowed boolean")
 
