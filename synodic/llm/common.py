@@ -42,7 +42,7 @@ def written(frame: DataFrame) -> DataFrame:
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     own = spark._jsparkSession.cloneSession()
     own.conf().set(CLEANUP, "true")
-    own.conf().set(BATCH_BYTES, str(8 << 20))
+    own.conf().set(BATCH_BYTES, str(4 << 20))
     jvm = spark.sparkContext._jvm
     jvm.org.apache.spark.sql.classic.Dataset.ofRows(own, frame._jdf.logicalPlan()).write().parquet(path)
     out = spark.read.schema(frame.schema).parquet(path)
