@@ -4,6 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes eac
 Parquet in the shared folder and reads them again for the next. All stages but the last return the
 columns of documents. Rejected languages, all but one document of each near-copy component, and
 documents that hold a test item go; secrets are replaced in the text; the last stage gives the ids.
+Stages that read texts in Python write their own rows, as written() bounds the memory of a batch.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from synodic.llm.secrets import redact
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return known_language(docs, fit_language(docs))
+    return written(known_language(docs, fit_language(docs)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,15 +28,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return written(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return redact(docs)
+    return written(redact(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_table(docs, digest=False, generation=60_000)
+    return written(encode_table(docs, digest=False, generation=60_000))
 
 
 STAGES = [("language ID", language_id), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", decontamination), ("secret scans", secret_redaction), ("SentencePiece encoding", tokens)]
@@ -49,7 +50,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs)
+            docs = docs if hasattr(docs, "written_at") else written(docs)
             if before is not None:
                 dropped(spark, before)
             before = docs
