@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes eac
 Parquet in the shared folder and reads them again for the next. All stages but the last return the
 columns of documents. Rejected languages, all but one document of each near-copy component, and
 documents that hold a test item go; secrets are replaced in the text; the last stage gives the ids.
-Stages that read texts in Python write their own rows, as written() bounds the memory of a batch.
+Stages that filter or change texts in Python write their own rows, as written() bounds the memory of a batch.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return written(encode_table(docs, digest=False, generation=60_000))
+    return encode_table(docs, digest=False, generation=60_000).drop("next_ids")
 
 
 STAGES = [("language ID", language_id), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", decontamination), ("secret scans", secret_redaction), ("SentencePiece encoding", tokens)]
