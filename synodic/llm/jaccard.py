@@ -16,7 +16,8 @@ The order of the shingles is by document counts over all documents, gathered tas
 any order gives the same links. Sets that are equal are one class and are linked without a search. In
 lists of more than ``small`` members, members first probe one centre; what the links found so far do not
 join then probes the other members: by pairs, or in lists of more than ``crowd`` such members by whole
-shards, so that the rows grow with the members and not with their pairs.
+shards of documents of about their size, by histograms first and with their sets where these allow a
+link, so that the rows grow with the members and shards and not with the pairs.
 
 Null and empty texts have an empty set and link with nothing; texts may be of any length. Rows with a
 null id link with nothing; repeated ids are one document with the texts of each row; ids are cast to
@@ -45,7 +46,7 @@ SIZE = 5
 class JaccardConfig:
     """``percent`` is the similarity; ``hottest`` bounds the shingles that are ordered by count, the others are ordered by hash.
 
-    ``shard`` is the number of documents whose lists a shard holds, about; ``mu`` weighs merging against probing when lists are divided.
+    ``shard`` is the number of documents whose lists a shard holds, about, and ``load`` that of shingles where the longest gather; ``mu`` weighs merging against probing when lists are divided.
     """
 
     percent: int = 80
@@ -54,6 +55,7 @@ class JaccardConfig:
     hot: int = 64
     crowd: int = 64
     shard: int = 1000
+    load: int = 2_000_000
     mu: float = 0.0085
 
 
@@ -279,8 +281,13 @@ def kept_pairs(rows: DataFrame, test) -> DataFrame:
 
 
 def histogram(s: np.ndarray) -> bytes:
-    """Counts of the hashes by their highest bits, in about as many cells as half of the hashes: a byte a cell, or four where that is too small."""
-    k = max(4, int(np.ceil(np.log2(max(len(s), 2)))) - 1)
+    """Counts of the hashes by their highest bits: a byte a cell, or four where that is too small.
+
+    Up to 128 hashes have about as many cells as half of them, from 512 on an eighth to a quarter: unrelated
+    sets of n hashes in n / 8 cells share 0.80 n at most by these counts, and 0.89 n are asked for.
+    """
+    bits = int(np.ceil(np.log2(max(len(s), 2))))
+    k = max(4, min(bits - 1, 6), bits - 3)
     count = np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
     return bytes((k,)) + count.astype(np.uint8 if count.max(initial=0) < 256 else np.uint32).tobytes()
 
@@ -405,7 +412,7 @@ class ShardIndex:
         return out
 
 
-def answered(routes: DataFrame, shards: int, docs: DataFrame, config: JaccardConfig, doc_id: str, text: str) -> DataFrame:
+def answered(routes: DataFrame, docs: DataFrame, config: JaccardConfig, doc_id: str, text: str) -> DataFrame:
     """Links (a, b) of routes: kind 0: document a is indexed in its shard; 1: probe a asks shard ``shard``."""
     percent, mu = config.percent, config.mu
     sets = None
@@ -465,18 +472,18 @@ def shard_of(column: str, shards: int):
     return F.pmod(F.xxhash64(column), F.lit(shards)).cast("int")
 
 
-def routed(pairs: DataFrame, config: JaccardConfig) -> tuple[DataFrame, int]:
-    """Routes of pairs (probe a, document b), each document in the shard of its id; and the number of shards."""
+def routed(pairs: DataFrame, config: JaccardConfig) -> DataFrame:
+    """Routes of pairs (probe a, document b), each document in the shard of its id."""
     own = pairs.select(F.col("b").alias("a")).distinct()
     shards = max(1, own.count() // config.shard)
-    return written(own.select("a", shard_of("a", shards).alias("shard"), F.lit(0).alias("kind")).unionByName(pairs.select("a", shard_of("b", shards).alias("shard"), F.lit(1).alias("kind")).distinct())), shards
+    return written(own.select("a", shard_of("a", shards).alias("shard"), F.lit(0).alias("kind")).unionByName(pairs.select("a", shard_of("b", shards).alias("shard"), F.lit(1).alias("kind")).distinct()))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, config: JaccardConfig, doc_id: str, text: str) -> DataFrame:
     """Links of the pairs (probe a, document b); links with other documents of a shard may come with them."""
     left = likely(pairs, docs, config, doc_id, text)
-    routes, shards = routed(left, config)
-    out = answered(routes, shards, docs, config, doc_id, text)
+    routes = routed(left, config)
+    out = answered(routes, docs, config, doc_id, text)
     dropped(docs.sparkSession, left, routes)
     return out
 
@@ -544,16 +551,90 @@ def unjoined(members: DataFrame, labels: DataFrame, tested: DataFrame, docs: Dat
     return out
 
 
+def shards_by_size(members: DataFrame, config: JaccardConfig) -> DataFrame:
+    """(doc, shard) of the members (doc, n): a shard holds documents of about one size, ``shard`` of them and ``load`` shingles at most, about."""
+    near = members.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(max(100 / config.percent, 1.01)))).cast("int"))
+    # one row for each power of 100 / percent
+    kinds = near.groupBy("size").agg(F.count("*").alias("m"), F.sum("n").alias("all")).orderBy("size").collect()
+    # every probe meets long lists here: smaller shards as long as they are few, so that more tasks share the work
+    spread = min(8 * sum(r["m"] for r in kinds) // config.shard, 64) / max(1, sum(r["m"] for r in kinds))
+    parts, total = [], 0
+    for r in kinds:
+        own = max(1, -(-r["m"] // config.shard), -(-r["all"] // config.load), int(spread * r["m"]))
+        parts.append((r["size"], own, total))
+        total += own
+    dealt = near.join(F.broadcast(members.sparkSession.createDataFrame(parts, "size int, parts int, first int")), "size")
+    return dealt.select("doc", (F.col("first") + F.pmod(F.xxhash64("doc"), F.col("parts"))).cast("int").alias("shard")).distinct()
+
+
+def asked_shards(many: DataFrame, dealt: DataFrame, config: JaccardConfig) -> DataFrame:
+    """Routes (probe a, shard): the shard holds a member of a list of the probe whose size and place there could allow a link."""
+    percent = config.percent
+    held = many.join(dealt, "doc").groupBy("shingle", "shard").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("left"))
+    seek = many.filter("component != largest").select("shingle", F.col("doc").alias("a"), "n", "pos")
+    n, lo = F.col("n").cast("long"), F.col("lo").cast("long")
+    need = F.ceil((n + lo) * percent / (100 + percent))
+    could = (n * 100 >= lo * percent) & (F.col("hi").cast("long") * 100 >= n * percent) & (n - F.col("pos") >= need) & (F.col("left") >= need)
+    return seek.join(held, "shingle").filter(could).select("a", "shard").distinct()
+
+
+def likely_shards(asks: DataFrame, dealt: DataFrame, docs: DataFrame, config: JaccardConfig) -> DataFrame:
+    """The routes (a, shard) of ``asks`` to shards that hold a document which the histograms do not rule out.
+
+    Histograms travel in place of the sets, a thirtieth of their size; a crowd gives a row for each probe and shard, not for each pair.
+    """
+    percent = config.percent
+    held = dealt.join(asks.select("shard").distinct(), "shard").select(F.col("doc").alias("a"), "shard", F.lit(0).alias("kind"))
+    routes = written(held.unionByName(asks.select("a", "shard", F.lit(1).alias("kind"))))
+    sketches = of_wanted(routes.select(F.col("a").alias("doc")).distinct(), docs, "doc_id", "text", lambda ids, sets: record(doc=ids, h=pa.array([histogram(s) for s in sets], pa.binary())), "doc long, h binary")
+    sent = routes.join(sketches.withColumnRenamed("doc", "a"), "a").repartition("shard").sortWithinPartitions("shard", "kind", "a")
+
+    def rows(batches):
+        shard, own, by = None, {}, {}
+
+        def matrix(k: int, to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Ids, cells (in 2**to of them) and sizes of the shard's documents with 2**k cells."""
+            if (k, to) not in by:
+                ids, cs = zip(*own[k], strict=True)
+                full = np.stack(cs)
+                by[k, to] = np.array(ids), full.reshape(len(cs), 1 << to, -1).sum(2), full.sum(1)
+            return by[k, to]
+
+        for batch in batches:
+            a, shards = [], []
+            for sh, kind, doc, raw in zip(batch.column("shard").to_pylist(), batch.column("kind").to_pylist(), batch.column("a").to_pylist(), batch.column("h"), strict=True):
+                if sh != shard:
+                    shard, own, by = sh, {}, {}
+                m, p = cells(raw.as_buffer())
+                if kind == 0:
+                    own.setdefault(m, []).append((doc, p))
+                    continue
+                for k in own:
+                    to = min(k, m)
+                    ids, q, sizes = matrix(k, to)
+                    most = np.minimum(p.reshape(1 << to, -1).sum(1), q).sum(1)
+                    if ((100 * most >= percent * (int(p.sum()) + sizes - most)) & (ids != doc)).any():
+                        a.append(doc)
+                        shards.append(sh)
+                        break
+            if a:
+                yield record(a=np.array(a, np.int64), shard=np.array(shards, np.int32))
+        released()
+
+    out = written(sent.select("shard", "kind", "a", "h").mapInArrow(rows, "a long, shard int"))
+    dropped(docs.sparkSession, routes, sketches)
+    return out
+
+
 def searched_shards(many: DataFrame, docs: DataFrame, config: JaccardConfig) -> DataFrame:
-    """Links among the members of crowded lists: each probes the shards that hold members of its lists."""
-    members = written(many.select("doc").distinct())
-    # every probe meets long lists here: smaller shards, so that more tasks share the work
-    shards = max(1, 8 * members.count() // config.shard)
-    held = many.select("shingle", shard_of("doc", shards).alias("shard")).distinct()
-    asks = many.filter("component != largest").select("shingle", F.col("doc").alias("a")).join(held, "shingle").select("a", "shard", F.lit(1).alias("kind")).distinct()
-    routes = written(members.select(F.col("doc").alias("a"), shard_of("doc", shards).alias("shard"), F.lit(0).alias("kind")).unionByName(asks))
-    out = answered(routes, shards, docs, config, "doc_id", "text")
-    dropped(docs.sparkSession, members, routes)
+    """Links among the members of crowded lists: each probes the shards that hold members of its lists which could link."""
+    dealt = written(shards_by_size(many.select("doc", "n").distinct(), config))
+    asks = written(asked_shards(many, dealt, config))
+    left = likely_shards(asks, dealt, docs, config)
+    held = dealt.join(left.select("shard").distinct(), "shard").select(F.col("doc").alias("a"), "shard", F.lit(0).alias("kind"))
+    routes = written(held.unionByName(left.select("a", "shard", F.lit(1).alias("kind"))))
+    out = answered(routes, docs, config, "doc_id", "text")
+    dropped(docs.sparkSession, dealt, asks, left, routes)
     return out
 
 

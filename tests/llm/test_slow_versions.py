@@ -16,7 +16,7 @@ from synodic.llm.pieces import PieceModel, decode_table, encode_table
 from synodic.llm.secrets import interval_join
 from synodic.llm.toxicity import BoostedTrees, ToxicityConfig, isotonic
 
-from .test_operators import SCHEMA, corpus, docs_of
+from .test_operators import SCHEMA, corpus, docs_of, roots
 
 
 def test_pairwise_part_of_the_machine():
@@ -144,6 +144,28 @@ def test_common_lines_emit_few_rows(spark):
     assert {(min(r.a, r.b), max(r.a, r.b)) for r in links.collect()} <= slow and sizes.count() == 300
 
 
+def test_crowds_send_few_sets(spark, monkeypatch):
+    """Texts of two to 45 out of sixty common lines: sets go only to shards that could hold a link, and none is lost."""
+    from synodic.llm import jaccard
+
+    rng = random.Random(8)
+    lines = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(9)) for _ in range(60)]
+    texts = [rng.sample(lines, rng.choice([2, 5, 12, 20, 30, 45])) for _ in range(300)]
+    texts = [" ".join(t) for t in texts] + [" ".join(t[1:]) for t in texts[:60]]
+    sent, real = [], jaccard.answered
+
+    def counted(routes, *rest):
+        sent.append(routes.filter("kind = 1").count())
+        return real(routes, *rest)
+
+    monkeypatch.setattr(jaccard, "answered", counted)
+    rows = jaccard.jaccard_join(docs_of(spark, texts), jaccard.JaccardConfig(hot=4, crowd=4, shard=20)).collect()
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    slow = [(j, i) for j in range(len(texts)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(slow) > 20 and [r[2] for r in sorted(rows)] == roots(len(texts), slow)
+    assert sum(sent) <= len(texts) // 2
+
+
 def slow_bm25(index, stats_terms, own, threshold):
     total = Counter()
     for t in own:
