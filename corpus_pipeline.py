@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes eac
 Parquet in the shared folder and reads them again for the next. All stages but the last return the
 columns of documents. Rejected languages, all but one document of each near-copy component, and
 documents that hold a test item go; secrets are replaced in the text; the last stage gives the ids.
-Stages that filter or change texts in Python write their own rows, as written() bounds the memory of a batch.
+Stages that filter or change texts in Python write their own rows, as written() bounds the memory of a batch;
+the last one is written once, by its caller, in batches that are bounded too.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from synodic.llm.benchmarks import decontaminate
-from synodic.llm.common import dropped, written
+from synodic.llm.common import bounded, dropped, written
 from synodic.llm.jaccard import drop_near_copies
 from synodic.llm.language import fit_language, known_language
 from synodic.llm.pieces import encode_table
@@ -36,7 +37,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_table(docs, digest=False, generation=60_000).drop("next_ids")
+    return bounded(encode_table(docs, digest=False, generation=25_000).drop("next_ids"))
 
 
 STAGES = [("language ID", language_id), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", decontamination), ("secret scans", secret_redaction), ("SentencePiece encoding", tokens)]

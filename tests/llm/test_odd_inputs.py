@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,15 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     docs.limit(0).write.parquet(f"{empty}/documents.parquet")
     spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").write.parquet(f"{empty}/benchmark.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_last_stage_takes_bounded_batches(spark, monkeypatch):
+    """20 MB of texts in one task reach the last stage of the pipeline in batches of a few MB, whoever writes its rows."""
+    import corpus_pipeline
+
+    def sizes(docs, **_):
+        return docs.mapInArrow(lambda batches: (b.slice(0, 1).set_column(0, "doc_id", pa.array([b.nbytes], pa.int64())) for b in batches), "doc_id long, next_ids string")
+
+    monkeypatch.setattr(corpus_pipeline, "encode_table", sizes)
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 10_000).alias("next_ids"))
+    assert max(r.doc_id for r in corpus_pipeline.tokens(spark, docs, "").collect()) < 8 << 20
