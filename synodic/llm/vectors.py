@@ -5,11 +5,11 @@ compares each with the next ``window`` ones, over the edges of tasks too, so tha
 depend on how the rows are dealt; the pairs verified at the threshold are united across passes into
 components. Equal vectors are one class with a count.
 
-Passes go in rounds. After each the recall is measured on the links of a sample of vectors with all
-others, found by brute force (a link is found when the passes have joined its ends); rounds end when it reaches ``recall`` and the sample has enough ``links`` to
-go by, or else after as many passes as a pair just at the threshold among scattered vectors needs for that
-recall. Where it is short after so many, as in a crowd of vectors that are all alike, rounds go on with
-twice the window, which ends as wide as the table at the worst.
+Passes go in rounds, as many at least as a pair just at the threshold among scattered vectors needs for
+``recall``, and until a whole round joins nothing more among all vectors. Where a round after these joins
+more than half of what the one before did, as in a crowd of vectors that are all alike, the window doubles;
+it ends as wide as the table at the worst. The recall on the links of a sample of vectors with all others,
+found by brute force (a link is found when its ends are joined), can only add rounds and widen the window.
 
 The links of a vector are counted within its component, where all its links are that the passes have
 found a way to: a component of up to ``block`` vectors in one task, a larger one by pairs of blocks about
@@ -41,7 +41,7 @@ from .components import components
 
 @dataclass(frozen=True)
 class VectorConfig:
-    """``sample`` vectors measure the recall; ``links`` of them are enough to go by it."""
+    """``sample`` vectors measure the recall."""
 
     threshold: float = 0.9
     bits: int = 48
@@ -49,7 +49,6 @@ class VectorConfig:
     each_round: int = 8
     recall: float = 0.99
     sample: int = 1024
-    links: int = 50
     block: int = 4096
     stripe: int = 512
     seed: int = 20
@@ -264,6 +263,7 @@ def passed(classes: DataFrame, config: VectorConfig, kind: str) -> DataFrame:
     spark, n = classes.sparkSession, classes.count()
     truth = sample_links(classes, config, kind)
     links, done, window, pairs = truth.count(), 0, config.window, None
+    joined, before = 0, n
     least = least_passes(n, config)
     while True:
         found = one_round(classes, range(done, done + config.each_round), window, config, kind)
@@ -276,11 +276,15 @@ def passed(classes: DataFrame, config: VectorConfig, kind: str) -> DataFrame:
         labels = written(components(pairs))
         ends = truth.join(labels.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
         right = ends.filter("x = y").count() >= config.recall * links
-        if window >= n or right and (done >= least or links >= config.links):
+        # how often any two components became one: over all vectors, not the sample
+        now = labels.count() - labels.select("component").distinct().count()
+        gain, joined = now - joined, now
+        if window >= n or right and done >= least and not gain:
             break
         dropped(spark, labels)
-        if done >= least and not right:
+        if done >= least and (not right or 2 * gain > before):
             window *= 2
+        before = gain
     dropped(spark, truth, pairs)
     return labels
 

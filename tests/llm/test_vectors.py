@@ -81,6 +81,21 @@ def test_recall_just_above_the_threshold(spark, n):
     assert np.mean(hit) >= 0.97 and sum(r[1] for r in got) <= 2 * linked.sum() + 4
 
 
+def test_easy_links_do_not_end_the_rounds(spark):
+    """The sample holds thousands of links of a tight clump; pairs just above the threshold elsewhere are found all the same."""
+    rng = np.random.default_rng(12)
+    n, clump, k = 8000, 200, 300
+    x = unit(rng.normal(size=(n, 64)))
+    x[:clump] = unit(x[0] + 0.01 * rng.normal(size=(clump, 64)))
+    own = x[clump : clump + k]
+    side = rng.normal(size=(k, 64))
+    side = unit(side - (side * own).sum(1, keepdims=True) * own)
+    cosine = rng.uniform(0.9005, 0.905, size=(k, 1))
+    x[-k:] = cosine * own + np.sqrt(1 - cosine**2) * side
+    got = found(spark, x)
+    assert sum(got[n - k + i][2] != clump + i for i in range(k)) <= 3
+
+
 def test_same_pairs_however_dealt(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(150, 12))
