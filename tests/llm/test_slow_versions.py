@@ -159,7 +159,8 @@ def test_crowds_send_few_sets(spark, monkeypatch):
         return real(routes, *rest)
 
     monkeypatch.setattr(jaccard, "answered", counted)
-    rows = jaccard.jaccard_join(docs_of(spark, texts), jaccard.JaccardConfig(hot=4, crowd=4, shard=20)).collect()
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 8), "doc_id long, text string")
+    rows = jaccard.jaccard_join(docs, jaccard.JaccardConfig(hot=4, crowd=4, shard=20)).collect()
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
     slow = [(j, i) for j in range(len(texts)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     assert len(slow) > 20 and [r[2] for r in sorted(rows)] == roots(len(texts), slow)
