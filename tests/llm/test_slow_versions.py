@@ -12,7 +12,7 @@ from synodic.llm.benchmarks import DecontaminationConfig, ItemIndex, contaminate
 from synodic.llm.jaccard import ShardIndex
 from synodic.llm.language import LanguageConfig, detect, fit_language, kneser_ney, known_language, language
 from synodic.llm.licenses import BASE, TEMPLATES, find_licenses
-from synodic.llm.pieces import PieceModel, decode_table, encode_table
+from synodic.llm.pieces import PieceModel, Stretches, Tree, decode_table, encode_table, two_best_of
 from synodic.llm.secrets import interval_join
 from synodic.llm.toxicity import BoostedTrees, ToxicityConfig, isotonic
 
@@ -338,6 +338,46 @@ def test_nbest_of_stretches():
         assert np.allclose([c for c, _ in whole], [-x for x, _ in model.encode(text, 3)])
 
 
+@pytest.mark.parametrize("ties", [False, True])
+def test_many_segments_at_once(ties):
+    """The search of many segments gives what the search of each gives, ties and signs without a piece included."""
+    rng = random.Random(4)
+    names = [*"abcé", "ab", "bc", "abc", "cab", "bcab", "aa", "▁", "▁a", "▁ab"]
+    own = {n: (k, -rng.choice((1.0, 2.0)) if ties else -rng.random() * 9) for k, n in enumerate(names)}
+    model = PieceModel.build(own, [*names, *[f"<0x{b:02X}>" for b in range(256)]], list(range(len(names), len(names) + 256)))
+    words = list({"".join(rng.choice("abc▁éx日😀") for _ in range(rng.randint(1, 20))) for _ in range(200)})
+    costs, n1, ids1, others, n2, ids2 = two_best_of(model, Tree(model.root), words)
+    for k, w in enumerate(words):
+        (cost, ids), *rest = model.two_best(w)
+        assert (costs[k], tuple(ids1[n1[:k].sum() : n1[: k + 1].sum()].tolist())) == (cost, ids)
+        assert (others[k], tuple(ids2[n2[:k].sum() : n2[: k + 1].sum()].tolist())) == (rest[0] if rest else (float("inf"), ()))
+
+
+def test_all_n_segmentations_of_a_table(spark):
+    texts = ["", "plain words here", "Übergrößenträger, 12.5% off!", "a  b\n\tc ▁ x", "日本語のテキスト", "x" * 300]
+    model, rows = PieceModel.load(), {}
+    for digest in (False, True):
+        rows[digest] = {r.doc_id: r for r in encode_table(docs_of(spark, texts), n=5, digest=digest).collect()}
+    for k, t in enumerate(texts):
+        got, slow = rows[False][k], model.encode(t, 5)
+        found = [(got.best_score, got.ids), *([(got.next_score, got.next_ids)] if got.next_ids is not None else []), *[(o.score, o.ids) for o in got.others]]
+        assert len(found) == len(slow) and np.allclose([s for s, _ in found], [s for s, _ in slow]) and len({tuple(i) for _, i in found}) == len(found)
+        assert got.round_trip and all(model.decode(ids) == t for _, ids in found)
+        assert [o.score for o in rows[True][k].others] == [o.score for o in got.others] and all(len(o.ids) == 64 for o in rows[True][k].others)
+
+
+def test_round_trip_decodes_both_segmentations():
+    """A second segmentation that does not give the text back is told."""
+    model = PieceModel.load()
+    store = Stretches(model)
+    assert store.encoded(["plain words here"])[4] == [True]
+    at = store.starts[1].held[store.known["▁words"]]
+    store.ids.held[at] = (store.ids.held[at] + 1) % len(model.texts)
+    for w in ("▁plain", "▁here"):
+        store.loss.held[store.known[w]] = float("inf")
+    assert store.encoded(["plain words here"])[4] == [False]
+
+
 def test_generations_are_bounded():
     model = PieceModel.load()
     model.generation = 10
