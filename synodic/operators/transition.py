@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import numbered
 from ..model import EdgeType, ModelError, config
+from ..plans.materialise import small_tasks
 from .neighbours import Context
 
 
@@ -98,7 +99,10 @@ def emitted(frame: DataFrame, kind: EdgeType, e: NewEdge) -> DataFrame:
 
 
 def met_at_hubs(sim, frame: DataFrame, kind: EdgeType, h: HubEdges, read: set[str]) -> DataFrame:
-    """The edges of ``h``; a join on the hub, which Spark splits where one hub has very many."""
+    """The edges of ``h``; a join on the hub, which Spark splits where one hub has very many.
+
+    A hub's pairs are many more than its edges, so that commit() gives the table small tasks.
+    """
     sides = []
     for side, name in (("left", h.left), ("right", h.right)):
         if name not in read:
@@ -166,6 +170,7 @@ def transition(sim, rule: Callable[[Context], Step | None], call, read=(), write
     drops: dict[str, list[DataFrame]] = {}
     dead: list[DataFrame] = []
     states: dict[str, DataFrame] = {}
+    hubs: list[HubEdges] = []
     for name in order:
         kind = sim.model.agents[name]
         table, rest = sim.agents(name), None
@@ -195,6 +200,7 @@ def transition(sim, rule: Callable[[Context], Step | None], call, read=(), write
             frame = after.settle(frame) if context.requests else frame
         for h in step.hubs:
             require(h.type, write)
+            hubs.append(h)
             grown.setdefault(h.type, []).append(met_at_hubs(sim, frame, sim.model.edges[h.type], h, read))
         for e in step.edges:
             require(e.type, write)
@@ -221,7 +227,8 @@ def transition(sim, rule: Callable[[Context], Step | None], call, read=(), write
             for e in b.edges:
                 require(e.type, write)
                 grown.setdefault(e.type, []).append(emitted(born, sim.model.edges[e.type], e))
-    commit(sim, after, write, keep, states, births, grown, drops, dead)
+    met = {h.type: [sim.edges(h.left), sim.edges(h.right)] for h in hubs}
+    commit(sim, after, write, keep, states, births, grown, drops, dead, met)
     return after
 
 
@@ -252,8 +259,8 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def commit(sim, after, write, keep, states, births, grown, drops, dead) -> None:
-    """Agents, then edges: old rows (if kept) without the dropped, with the new, without those of the dead."""
+def commit(sim, after, write, keep, states, births, grown, drops, dead, met) -> None:
+    """Agents, then edges: old rows (if kept) without the dropped, with the new, without those of the dead. met: the edges that types of HubEdges are made of."""
     for name in write & set(sim.model.agents):
         parts = [states[name]] if name in states else [sim.agents(name)] if name in keep else []
         parts += births.get(name, [])
@@ -284,7 +291,8 @@ def commit(sim, after, write, keep, states, births, grown, drops, dead) -> None:
             table = table.join(lost, F.col("to") == F.col("_gone"), "left_anti")
             if not kind.has("IgnoreFrom"):
                 table = table.join(lost, F.col("from") == F.col("_gone"), "left_anti")
-        after.edge_tables[name] = settled(table, kind) if name in write else table
+        table = settled(table, kind) if name in write else table
+        after.edge_tables[name] = small_tasks(table, *met[name]) if name in met else table
         loosened(after, name, True)
         if name in write and (kind.has("SingleType") or kind.has("SingleEdge") and not kind.counts_only):
             after.solid(name)

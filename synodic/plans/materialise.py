@@ -31,3 +31,23 @@ def materialised(frame: DataFrame) -> DataFrame:
 def removed(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Bytes, as Spark estimates and shuffles them, that a task of small_tasks() takes, about.
+TASK_BYTES = 8 << 20
+
+
+def small_tasks(frame: DataFrame, *read: DataFrame) -> DataFrame:
+    """The frame, in a copy of the session in which a task takes few shuffled bytes: for what makes many rows of each row of ``read``.
+
+    The number of partitions grows with the sizes of ``read``; adaptive execution joins those that stay small.
+    """
+    spark = frame.sparkSession
+    own, jvm = spark._jsparkSession.cloneSession(), spark.sparkContext._jvm
+    sizes = [int(str(r._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for r in read]
+    # a plan of unknown size tells the largest number
+    partitions = min(sum(s for s in sizes if s < 1 << 62) // TASK_BYTES, 20_000)
+    own.conf().set("spark.sql.shuffle.partitions", str(max(partitions, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    advised = jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes"))
+    own.conf().set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(min(advised, TASK_BYTES)))
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(own, frame._jdf.logicalPlan()), spark)

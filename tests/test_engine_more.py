@@ -158,3 +158,31 @@ def test_shared_folder_is_needed_on_a_cluster():
 
     with pytest.raises(ValueError, match="checkpoint"):
         shared_folder(Session())
+
+
+def test_hub_pairs_are_made_in_small_tasks(spark, tmp_path):
+    """A task of the join at hubs reads a bounded part of the edges, however large Spark's own partitions are, and the partitions grow with them."""
+    from synodic.functions.ids import make_id
+    from synodic.plans import materialise
+
+    model = Model("hubs").agent("A", "x long").edge("L", "v long").edge("R", "v long").edge("M", "v long")
+    sim = Simulation(spark, model, lazy=True)
+    sim.add_agents("A", spark.range(1, 101).select(F.col("id").alias("_key"), F.lit(0).cast("long").alias("x")), nr="_key")
+    rows = spark.range(3000).select(make_id(1, F.col("id") % 90 + 1).alias("from"), make_id(1, F.col("id") % 100 + 1).alias("to"), F.xxhash64("id").alias("v"))
+    rows.write.parquet(f"{tmp_path}/rows")
+    for name in ("L", "R"):
+        sim.add_edges(name, spark.read.parquet(f"{tmp_path}/rows"))
+    sim.finish_init()
+    step = lambda c: Step(hubs=[HubEdges("M", "L", "R", {"v": F.col("left.v") % 7 - F.col("right.v") % 5})])
+    whole = sim.apply(step, "A", read=["L", "R"], write="M").edges("M").groupBy("from", "to").agg(F.sum("v").alias("v"))
+    before, sizes = materialise.TASK_BYTES, []
+    try:
+        for limit in (8192, 1024):
+            materialise.TASK_BYTES = limit
+            made = sim.apply(step, "A", read=["L", "R"], write="M").edges("M").groupBy("from", "to").agg(F.sum("v").alias("v"))
+            assert made._jdf.sparkSession().conf().get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == str(limit)
+            sizes.append(int(made._jdf.sparkSession().conf().get("spark.sql.shuffle.partitions")))
+            assert sorted(map(tuple, made.collect())) == sorted(map(tuple, whole.collect()))
+    finally:
+        materialise.TASK_BYTES = before
+    assert 4 < sizes[0] < sizes[1] and spark.conf.get("spark.sql.shuffle.partitions") == "4"
